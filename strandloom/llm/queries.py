@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common
+from . import common, pii, quality
+from .decontaminate import find_leaks
+from .line_dedup import dedup_lines
+from .piece_fst import round_trips
 from .token_counts import token_counts
 from .token_store import digests, read_tokens, write_tokens
 
@@ -25,13 +29,83 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_tokens(spark, path))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find_personal_data(docs, pii.fit(docs)))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trips = round_trips(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return trips.select("doc_id", "n_pieces", "ids_crc32", "round_trip", F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    joined = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    return leaks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_personal_data": op2_personal_data,
+    "op3_quality": op3_quality,
+    "op4_pieces": op4_pieces,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Lines of each document, hashed in threes; all but the first occurrence of a window take their lines away.
+OP5_SQL = """
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS p FROM docs),
+wide AS (SELECT doc_id, p, line,
+    line || chr(10) || lead(line) OVER w || chr(10) || lead(line, 2) OVER w AS win
+  FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+ranked AS (SELECT doc_id, p, line,
+    win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS later FROM wide),
+marked AS (SELECT doc_id, p, line,
+    bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM ranked),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+    CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+#: Words as arrays; windows of ten words, or a whole shorter item; joined as lists.
+OP6_SQL = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM iw WHERE len(w) > 0)),
+spot AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, (SELECT DISTINCT n FROM item))),
+hit AS (SELECT doc_id, item_id, s.n, p FROM spot s JOIN item i ON s.win = i.win AND s.n = i.n),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
+}
