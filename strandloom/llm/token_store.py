@@ -79,7 +79,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, ids: bool = True) -> DataFrame:
     """Documents with `start`, the number of ids before them in all files.
 
-    The starts need only the numbers of the files (a sum for each file). With
+    The starts need only the numbers of the files (a sum for each file), which
+    are broadcast: one row per file, so never more than a few MB. With
     ids=False token pages are never read; a range of documents is pushed down
     to row groups and pages.
     """
@@ -89,7 +90,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     rows = table if first is None else table.where(F.col("doc_id") >= first)
     rows = rows if last is None else rows.where(F.col("doc_id") <= last)
     columns = ["doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", *["ids"] * ids]
-    return rows.join(before, "part").select(*columns)
+    return rows.join(F.broadcast(before), "part").select(*columns)
 
 
 def digests(tokens: DataFrame) -> DataFrame:
