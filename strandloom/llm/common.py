@@ -60,7 +60,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,6 +76,22 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] for n in names])
 
 
+def carried(df: DataFrame, *taken: str) -> Column:
+    """A struct of all other columns, to go through an operator untouched (a flag where there are none)."""
+    rest = [df[f"`{c}`"].alias(c) for c in df.columns if c not in taken]
+    return F.struct(*(rest or [F.lit(True).alias("none")])).alias("rest")
+
+
+def restored(out: DataFrame, docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """docs' columns in their order, from i, t and rest, then more."""
+    columns = [F.col("i").alias(c) if c == id_col else F.col("t").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns, *more)
+
+
+def sql_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings; a null counts as an empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
@@ -156,13 +172,16 @@ def hashed(c: Column | str, seed: int = 0) -> Column:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Join small batches into blocks of about most_bytes, so that numpy has long arrays."""
+    """Join small batches into blocks of about most_bytes, so that numpy has long arrays.
+
+    A batch of more than twice that size is split, down to single rows.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.nbytes
+        for part in _halves(b, 2 * most_bytes):
+            held.append(part)
+            size += part.nbytes
             if size >= most_bytes:
                 yield _joined(held)
                 held, size = [], 0
@@ -170,6 +189,15 @@ def blocks(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
         yield _joined(held)
 
 
+def _halves(b: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    if b.num_rows > 1 and b.nbytes > most_bytes:
+        half = b.num_rows // 2
+        yield from _halves(b.slice(0, half), most_bytes)
+        yield from _halves(b.slice(half), most_bytes)
+    elif b.num_rows:
+        yield b
+
+
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     if len(held) == 1:
         return held[0]

@@ -146,13 +146,13 @@ def _pass(shared):
             for r, old in enumerate(b.column(3).to_pylist()):
                 spans.append(_runs(hit[bounds[r] : bounds[r + 1]]) if touched[r] else [])
                 items.append(sorted({*old, *item[for_doc[r] : for_doc[r + 1]].tolist()}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())), pa.array(np.diff(bounds))], ["i", "t", "spans", "items", "n_words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64())), pa.array(np.diff(bounds)), b.column(4)], ["i", "t", "spans", "items", "n_words", "rest"])
 
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, text, n_words, n_hit, spans, items): which words stand in windows of benchmark items.
+    """docs with n_words, n_hit, spans and items: which words stand in windows of benchmark items.
 
     Fingerprints are k-gram hashes, the smallest of every span - k + 1 in a row,
     so any shared run of `span` words shares one. Documents' fingerprints are
@@ -169,15 +169,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 4
 
     Null and empty texts have no words; a null item id or text is no item;
     items with equal ids are one item; repeated documents are judged one by
-    one; empty tables give no hits or no rows. Other columns are not read.
+    one; empty tables give no hits or no rows. Other columns go through as they are;
+    the four that are added must not be among them.
     """
     spark = common.prepare(docs.sparkSession)
-    out = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
+    out = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<bigint>").alias("items"), common.carried(docs, id_col, text_col))
+    kind = common.sql_type(out, "rest")
     for ids, texts in _item_blocks(benchmark.select(benchmark[f"`{item_col}`"].cast("long").alias("i"), benchmark[f"`{item_text_col}`"].alias("t")).dropna()):
         shared = spark.sparkContext.broadcast(build(ids, texts, span, k))
-        out = out.select("i", "t", "spans", "items").mapInArrow(_pass(shared), "i long, t string, spans array<int>, items array<long>, n_words long")
+        out = out.select("i", "t", "spans", "items", "rest").mapInArrow(_pass(shared), f"i long, t string, spans array<int>, items array<long>, n_words long, rest {kind}")
     lengths = F.aggregate(F.transform("spans", lambda x, j: F.when(j % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select(F.col("i").alias(id_col), F.col("t").alias(text_col), "n_words", lengths.alias("n_hit"), "spans", "items")
+    return common.restored(out.withColumn("n_hit", lengths), docs, id_col, text_col, "n_words", "n_hit", "spans", "items")
 
 
 def _item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:

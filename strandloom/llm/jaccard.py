@@ -307,7 +307,7 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     """docs with one document (the smallest id) of each group of linked ones; null ids stay."""
     found = common.stored(jaccard_join(docs, n, percent, id_col, text_col), "components")
     gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
 
 
 def brute_force(rows: list[tuple[int, str | None]], n: int = 5, percent: int = 80) -> list[tuple[int, int, int]]:

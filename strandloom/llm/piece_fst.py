@@ -244,7 +244,7 @@ def decode_pieces(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
 
 
 def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_pieces, ids_crc32, round_trip, text): every text encoded and decoded again.
+    """(id, n_pieces, ids_crc32, round_trip, text, ids): every text encoded and decoded again.
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers; round_trip
     says whether the decoded text equals the input after the normaliser (a null
@@ -256,11 +256,11 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         m = machine(model)
         for b in batches:
             given = common.texts(b, "t")
-            coded = [m.encode(t) for t in given]
-            back = [m.decode(x) for x in coded]
-            crc = [zlib.crc32(np.array(x, "<u4").tobytes()) for x in coded]
+            coded = [np.array(m.encode(t), np.int32) for t in given]
+            back = [m.decode(x.tolist()) for x in coded]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in coded]
             same = [y == (t.replace(MARK, " ") if not m.squeeze else re.sub(" +", " ", t).strip(" ")) for y, t in zip(back, given, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.string())], ["i", "n_pieces", "ids_crc32", "round_trip", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.string()), pa.array(coded, pa.list_(pa.int32()))], ["i", "n_pieces", "ids_crc32", "round_trip", "text", "ids"])
 
     source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
-    return source.mapInArrow(run, "i long, n_pieces long, ids_crc32 long, round_trip boolean, text string").withColumnRenamed("i", id_col)
+    return source.mapInArrow(run, "i long, n_pieces long, ids_crc32 long, round_trip boolean, text string, ids array<int>").withColumnRenamed("i", id_col)

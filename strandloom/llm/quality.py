@@ -203,10 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, tr
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings | None = None, cut: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs that are named (id, text) with score and predicted.
+    """docs with score (of label 1) and predicted (1 if the score reaches cut, else 0).
 
-    An empty or null text gets the score of the bias alone. Rows are scored one
-    by one, so repeated rows get equal scores; an empty table gives no rows.
+    An empty or null text gets the score of the bias alone. Rows are scored one by one,
+    so repeated rows get equal scores; an empty table gives no rows. Other columns go
+    through as they are; score and predicted must not be among them.
     """
     s = settings or Settings()
     spark = common.prepare(docs.sparkSession)
@@ -217,7 +218,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings |
         scorer = _scorer(key, shared)
         for b in batches:
             got = scorer.scores(common.texts(b, "t"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got), pa.array((got >= cut).astype(np.int32))], ["i", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got), pa.array((got >= cut).astype(np.int32))], ["i", "t", "rest", "score", "predicted"])
 
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
-    return source.mapInArrow(run, "i long, score double, predicted int").withColumnRenamed("i", id_col)
+    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"), common.carried(docs, id_col, text_col))
+    out = source.mapInArrow(run, f"i long, t string, rest {common.sql_type(source, 'rest')}, score double, predicted int")
+    return common.restored(out, docs, id_col, text_col, "score", "predicted")

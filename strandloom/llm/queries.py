@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, pii, quality
+from .audio import align, fingerprints
 from .decontaminate import find_leaks
 from .jaccard import jaccard_join
 from .line_dedup import dedup_lines
 from .piece_fst import round_trips
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_store import digests, read_tokens, write_tokens
 
@@ -36,7 +38,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
@@ -47,12 +49,12 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    leaks = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     joined = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return leaks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -65,6 +67,18 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), span=200)
+    n = F.aggregate(F.transform("spans", lambda x, j: F.when(j % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return cut.select("doc_id", "n_bytes", n.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op10_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no sound, so each page's bytes are taken as 8-bit PCM."""
+    media = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("sound"))
+    return align(fingerprints(media, "page_id", "sound"), id_col="page_id")
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_personal_data": op2_personal_data,
@@ -74,6 +88,8 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_chroma_alignment": op10_chroma_alignment,
 }
 
 #: Lines of each document, hashed in threes; all but the first occurrence of a window take their lines away.
