@@ -273,7 +273,7 @@ def mutation_new_pos(spark, sf):
     return M.with_new_pos(_both(spark, sf)[1]).select("hap_id", "chrom_id", "old_pos", "new_pos")
 
 
-@query(f"""WITH {MUTATIONS} SELECT hap_id, chrom_id, length(alt) - ref_len AS size_mod, old_pos, old_pos + coalesce(sum(length(alt) - ref_len) OVER (PARTITION BY hap_id, chrom_id ORDER BY old_pos
+@query(f"""WITH {MUTATIONS} SELECT hap_id, chrom_id, (length(alt) - ref_len)::INT AS size_mod, old_pos, old_pos + coalesce(sum(length(alt) - ref_len) OVER (PARTITION BY hap_id, chrom_id ORDER BY old_pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS new_pos, alt AS nucleos FROM mut""")
 def view_mutations(spark, sf):
     return M.with_new_pos(_both(spark, sf)[1]).select("hap_id", "chrom_id", "size_mod", "old_pos", "new_pos", F.col("alt").alias("nucleos"))
