@@ -57,13 +57,13 @@ def _cutter(n: int):
                 keep = np.cumsum(gone)[: len(lines)] == 0
                 kept = t if keep.all() else "\n".join([x for x, k in zip(lines, keep, strict=True) if k])
                 rows.append((kept, len(lines), int(len(lines) - keep.sum())))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64())], ["i", "text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), b.column(3)], ["i", "t", "n_lines", "n_removed", "rest"])
 
     return run
 
 
 def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_lines, n_removed): texts without the lines of repeated windows.
+    """docs with cut texts, and n_lines and n_removed: no lines of repeated windows but the first.
 
     Every `window` consecutive lines of a document are hashed (128 bits); the
     first occurrence of a window, by id and then position, stays; the lines
@@ -75,20 +75,22 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     A text of fewer lines than the window is left as it is; an empty text has
     one line; a null text has none and stays null. Null ids come first in the
     order. Rows that agree in id and text count as one document, so they are
-    kept or cut alike. An empty table gives an empty result; other columns are
-    not read.
+    kept or cut alike. An empty table gives an empty result; other columns go
+    through as they are, but n_lines and n_removed must not be among them.
     """
     common.prepare(docs.sparkSession)
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
-    source = source.select("i", F.xxhash64("i", "t").alias("k"), "t")
-    found = common.stored(source.mapInArrow(_windows(window), "h1 long, h2 long, i long, k long, p int"), "windows")
+    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"), common.carried(docs, id_col, text_col))
+    source = source.select("i", F.xxhash64("i", "t").alias("k"), "t", "rest")
+    found = common.stored(source.select("i", "k", "t").mapInArrow(_windows(window), "h1 long, h2 long, i long, k long, p int"), "windows")
     place = F.struct("i", "k", "p")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
     later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("i", "k", "p")
     spots = common.stored(later.groupBy("i", "k").agg(F.collect_set("p").alias("found")), "repeats")
-    spots = spots.select(F.col("i").alias("si"), F.col("k").alias("sk"), "found")
-    joined = source.join(spots, (F.col("k") == F.col("sk")) & F.col("i").eqNullSafe(F.col("si")), "left").select("i", "t", "found")
-    return joined.mapInArrow(_cutter(window), "i long, text string, n_lines long, n_removed long").withColumnRenamed("i", id_col)
+    # the same plan at every size: texts are dealt by id, whatever the number of repeats
+    spots = spots.select(F.col("i").alias("si"), F.col("k").alias("sk"), "found").hint("merge")
+    joined = source.join(spots, (F.col("k") == F.col("sk")) & F.col("i").eqNullSafe(F.col("si")), "left").select("i", "t", "found", "rest")
+    out = joined.mapInArrow(_cutter(window), f"i long, t string, n_lines long, n_removed long, rest {common.sql_type(joined, 'rest')}")
+    return common.restored(out, docs, id_col, text_col, "n_lines", "n_removed")
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = 3) -> list[tuple[int, str | None, int, int]]:
