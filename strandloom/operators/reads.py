@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, rng
 from ..plans.checks import number, whole
-from ..plans.models import chi2_quantile
+from ..plans.models import lower_gamma
 from ..sources.profiles import Profile, falling
 
 READ = "hap string, chrom string, start long, strand string, mate int, seq string, qual string"
@@ -41,6 +41,7 @@ def mate_columns(fragments: DataFrame, read_length: int, matepair: bool = False)
 class Illumina:
     """Settings of short reads; n_reads counts both mates, and duplicates."""
 
+    # The usual defaults.
     read_length: int = 100
     paired: bool = True
     matepair: bool = False
@@ -73,6 +74,7 @@ class Illumina:
 class PacBio:
     """Settings of long reads."""
 
+    # The published curves of passes and errors.
     chi2_s: tuple[float, ...] = (0.01214, -5.12, 675.0, 48303.0732881, 1.4691051212330266)
     chi2_n: tuple[float, ...] = (0.00189237136, 2.53944970, 5500.0)
     max_passes: int = 40
@@ -261,9 +263,8 @@ def pacbio(sequences: DataFrame, n_reads: int, settings: PacBio | None = None, w
         df = max(0.001, s.chi2_n[0] * min(n, s.chi2_n[2]) + s.chi2_n[1])
         s0, s1, s2, s3, s4 = s.chi2_s
         scale = max(0.001, s0 * n - s1 if n <= s2 else s3 / n**s4)
-        top = chi2_quantile(0.9925, df) if df > 0.01 else math.inf
         x = g.chisquare(df)
-        while x > top:
+        while lower_gamma(df / 2, x / 2) > 0.9925:  # beyond that quantile
             x = g.chisquare(df)
         return min(1 + scale * x, s.max_passes)
 
