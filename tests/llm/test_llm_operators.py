@@ -205,6 +205,7 @@ def test_jaccard(spark, monkeypatch, n, percent, most):
     if not most:
         monkeypatch.setattr(jaccard, "MOST_IDS", 0)
         monkeypatch.setattr(jaccard, "frequent_tokens", lambda source, n: np.zeros(0, np.uint64))
+        monkeypatch.setattr(jaccard, "ROUNDS", 0)
     rng = random.Random(7 + n)
     passage = words(rng, 30)
     rows = [(i, words(rng, rng.randint(0, 50), 200)) for i in range(60)]
