@@ -171,7 +171,7 @@ def hashed(c: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), c)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterable[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Join small batches into blocks of about most_bytes, so that numpy has long arrays.
 
     A batch of more than twice that size is split, down to single rows.

@@ -3,11 +3,12 @@
 A document is the set of its distinct word n-grams, hashed to 64 bits. Equal
 sets are one class. Classes whose similarity reaches the threshold are linked:
 
-1. Tokens have one global order: those that are frequent within blocks of the
-   corpus come last, all others by their hash. Two sets that reach the threshold
-   share a token among the first few of each in that order (prefix filter), so
-   only those tokens are indexed; the order decides what it costs, never what is
-   found.
+1. Tokens have one global order: those found to be frequent come last, all others
+   by their hash. Frequent are tokens that repeat within blocks of the corpus, and
+   then, in ROUNDS of counting, those that several documents have among the tokens
+   that the order so far puts first. Two sets that reach the threshold share a
+   token among the first few of each (prefix filter), so only those tokens are
+   indexed; the order decides what it costs, never what is found.
 2. Every indexed token has a pivot, its smallest class. Each class is compared
    with the pivots of its tokens, which is linear in the index, and what is
    linked so makes groups of similar documents.
@@ -37,9 +38,11 @@ from .words import grams, not_white, word_hashes
 
 CELLS = 128
 #: Tokens that a block of the corpus counts at once.
-BLOCK_TOKENS = 8_000_000
+BLOCK_TOKENS = 2_000_000
 #: Frequent tokens sent to the executors, at most (8 bytes each).
 MOST_FREQUENT = 1 << 21
+#: Times that indexed tokens are counted to improve the order.
+ROUNDS = 2
 #: Ids sent to the executors as a broadcast, at most; more are joined by a shuffle.
 MOST_IDS = 1 << 21
 
@@ -112,12 +115,60 @@ def frequent_tokens(source: DataFrame, n: int) -> np.ndarray:
     return np.sort(rows["token"].to_numpy().view(np.uint64))
 
 
+def first_tokens(sets: list[np.ndarray], frequent: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each set, the tokens it is found by, and the further ones that it looks up."""
+    size = np.array([len(s) for s in sets], np.int64)
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    late = np.zeros(len(every), bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)] == every
+    look, index = prefix_lengths(size, percent)
+    ends, least, out = np.cumsum(size), smallest_size(percent), []
+    for j, s in enumerate(sets):
+        if len(s) < least:
+            out.append((s[:0].view(np.int64), s[:0].view(np.int64)))
+            continue
+        z = late[ends[j] - len(s) : ends[j]]
+        ordered = np.concatenate([s[~z], s[z]])[: look[j]].view(np.int64)
+        out.append((ordered[: index[j]], ordered[index[j] :]))
+    return out
+
+
+def _indexed(n: int, percent: int, shared):
+    """All tokens that documents are found by, for counting; equal sets of a block count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches):
+            sets = token_sets(*common.byte_view(b, "t"), n)
+            sets = list({s.tobytes(): s for s in sets}.values())
+            tokens = [x for x, _ in first_tokens(sets, shared.value, percent)]
+            values, counts = np.unique(np.concatenate([*tokens, np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["token", "n"])
+
+    return run
+
+
+def reordered(source: DataFrame, n: int, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """frequent and the indexed tokens of at least three documents; still at most MOST_FREQUENT."""
+    shared = source.sparkSession.sparkContext.broadcast(frequent)
+    counts = source.select("t").mapInArrow(_indexed(n, percent, shared), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
+    counts = common.stored(counts, "counts")
+    room, limit = MOST_FREQUENT - len(frequent), 3
+    # one row per number of documents up to 1,000: the lowest limit that leaves few enough tokens
+    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        room -= r["count"]
+        if room < 0:
+            limit = r["n"] + 1
+            break
+    more = counts.where(F.col("n") >= limit).limit(MOST_FREQUENT).select("token").toArrow()
+    return np.union1d(frequent, more["token"].to_numpy().view(np.uint64))
+
+
 def _describe(n: int, percent: int, shared):
     """Size, 128-bit set hash, first tokens and cell counts of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, least = shared.value, smallest_size(percent)
-        for b in common.blocks(batches, 4 << 20):
+        for b in common.blocks(batches):
             sets = token_sets(*common.byte_view(b, "t"), n)
             size = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate([*sets, np.zeros(0, np.uint64)])
@@ -125,20 +176,8 @@ def _describe(n: int, percent: int, shared):
             h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             np.add.at(h1, doc, common.mix64(every + np.uint64(11)))
             np.add.at(h2, doc, common.mix64(every ^ np.uint64(0x5851F42D4C957F2D)))
-            late = np.zeros(len(every), bool)
-            if len(frequent):
-                late = frequent[np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)] == every
-            look, index = prefix_lengths(size, percent)
-            ends = np.cumsum(size)
-            first, cells = [], np.zeros((len(sets), CELLS), np.int64)
+            first, cells = first_tokens(sets, shared.value, percent), np.zeros((len(sets), CELLS), np.int64)
             np.add.at(cells, (doc, (every >> np.uint64(57)).astype(np.int64)), 1)
-            for j, s in enumerate(sets):
-                if len(s) < least:
-                    first.append(([], []))
-                    continue
-                z = late[ends[j] - len(s) : ends[j]]
-                ordered = np.concatenate([s[~z], s[z]])[: look[j]].view(np.int64)
-                first.append((ordered[: index[j]], ordered[index[j] :]))
             longs = pa.list_(pa.int64())
             # a cell's count is capped at 255, which 255 stands for "or more"; see bound()
             packed = np.minimum(cells, 255).astype(np.uint8)
@@ -234,7 +273,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     """
     spark = common.prepare(docs.sparkSession)
     source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
-    shared = spark.sparkContext.broadcast(frequent_tokens(source, n))
+    frequent = frequent_tokens(source, n)
+    for _ in range(ROUNDS):
+        frequent = reordered(source, n, percent, frequent)
+    shared = spark.sparkContext.broadcast(frequent)
     schema = "i long, n long, h1 long, h2 long, index array<long>, look array<long>, cells binary"
     described = common.stored(source.mapInArrow(_describe(n, percent, shared), schema), "described")
     keys = ["n", "h1", "h2"]
