@@ -17,8 +17,9 @@ sets are one class. Classes whose similarity reaches the threshold are linked:
    group stores the union of its members' tokens as the most that any member has
    in each of 128 cells of the token space; the sum over the cells of the smaller
    of query and union bounds the overlap with every member. Only groups whose
-   bound reaches the needed overlap are opened, and only members whose own bound
-   reaches it are compared token by token.
+   bound reaches the needed overlap are opened, and of their members only those
+   that share a token with the query early enough in the order, and whose own bound
+   reaches the overlap, are compared token by token.
 
 Pairs within a group are never compared, as they are connected already.
 """
@@ -287,9 +288,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     mine = common.stored(described.join(reps, ["i", "n"], "left_semi"), "classes")
     job = _Join(source, mine, n, percent)
 
-    entries = mine.select("i", F.explode("index").alias("token"), F.lit(True).alias("x")).union(mine.select("i", F.explode("look").alias("token"), F.lit(False).alias("x")))
+    # rest: how many tokens a class has after this one
+    found_by = mine.select("i", "n", F.posexplode("index").alias("p", "token")).select("i", "token", F.lit(True).alias("x"), "n", (F.col("n") - F.col("p") - 1).alias("rest"))
+    looked_up = mine.select("i", "n", F.size("index").alias("k"), F.posexplode("look").alias("p", "token")).select("i", "token", F.lit(False).alias("x"), "n", (F.col("n") - F.col("k") - F.col("p") - 1).alias("rest"))
+    entries = found_by.union(looked_up)
     pivots = entries.groupBy("token").agg(F.min(F.when(F.col("x"), F.col("i"))).alias("pivot"), F.min("i").alias("low"), F.max("i").alias("high")).where("pivot IS NOT NULL AND low < high").select("token", "pivot")
-    index = common.stored(entries.join(pivots, "token").select("token", "i", "x", "pivot"), "index")
+    index = common.stored(entries.join(pivots, "token").select("token", "i", "x", "n", "rest", "pivot"), "index")
     pairs = index.where("i <> pivot").select(F.greatest("i", "pivot").alias("a"), F.least("i", "pivot").alias("b")).distinct()
     links = job.linked(job.probable(pairs))
     # an id with several texts connects their classes
@@ -299,11 +303,13 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     groups = common.connected(links)
 
     # the token-group matrix, for tokens that more than one group holds
-    grouped = index.select("token", "i", "x").join(groups.select(F.col("node").alias("i"), "component"), "i", "left").select("token", "i", "x", F.coalesce("component", "i").alias("g"))
+    grouped = index.drop("pivot").join(groups.select(F.col("node").alias("i"), "component"), "i", "left").select("token", "i", "x", "n", "rest", F.coalesce("component", "i").alias("g"))
     mixed = grouped.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
     left = common.stored(grouped.join(mixed, "token", "left_semi"), "mixed")
-    matrix = left.groupBy("token", "g").agg(F.max("x").alias("gx"))
-    opened = left.join(matrix.withColumnRenamed("g", "h"), "token").where("g <> h AND (x OR gx)").select("i", "h").distinct()
+    matrix = left.groupBy("token", "g").agg(F.max("x").alias("gx"), F.max("rest").alias("grest"), F.min("n").alias("gn")).withColumnRenamed("g", "h")
+    # of two classes that link, the first token that both have leaves enough of each: others cannot be first
+    enough = (1 + F.least("rest", "grest")) * (100 + percent) >= (F.col("n") + F.greatest("gn", F.ceil(F.col("n") * percent / 100))) * percent
+    opened = left.join(matrix, "token").where((F.col("g") != F.col("h")) & (F.col("x") | F.col("gx")) & enough).select("i", "h").distinct()
     opened = common.stored(opened, "lookups")
     held = opened.select(F.col("h").alias("g")).distinct()
     belongs = mine.select("i", "n", "cells").join(groups.select(F.col("node").alias("i"), "component"), "i", "left").select("i", "n", "cells", F.coalesce("component", "i").alias("g"))
@@ -317,7 +323,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     # the smallest member that could link decides what the bound must reach
     need = F.greatest("least", F.ceil(F.col("na") * percent / 100)).cast("long")
     qualified = asked.select(F.col("i").alias("a"), F.col("h").alias("b"), "na", need.alias("nb"), "ca", F.col("cells").alias("cb")).mapInArrow(_bounded(percent), "a long, b long, na long, nb long")
-    inside = qualified.select("a", F.col("b").alias("g")).join(belongs.select("g", F.col("i").alias("b")), "g").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # members of an open group that share a token with the query, early enough in both
+    asking = qualified.select("a", F.col("b").alias("h")).join(left.select(F.col("i").alias("a"), "token", "x", "n", "rest"), "a")
+    member = left.select("token", F.col("g").alias("h"), F.col("i").alias("b"), F.col("x").alias("gx"), F.col("n").alias("gn"), F.col("rest").alias("grest"))
+    inside = asking.join(member, ["token", "h"]).where((F.col("x") | F.col("gx")) & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = job.linked(job.probable(inside))
     components = groups
     if more.limit(1).count():
