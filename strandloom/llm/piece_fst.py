@@ -16,9 +16,11 @@ semiring is therefore the model's encoding, and the path is unique: at every
 position at most one state has a finite cost. Arcs and pairs are expanded when an
 input first needs them, and remembered.
 
-If no piece has a mark after another character, every path passes through a
-boundary before each run of marks; the input may be cut there, and the shortest
-path of the whole is the shortest paths of the parts in a row.
+If no piece holds two neighbouring characters of an input, no arc spans the boundary
+between them, so every path passes through it: the input may be cut there, and the
+shortest path of the whole is the shortest paths of the parts in a row. With usual
+vocabularies this holds before each run of marks, and between words and most marks of
+punctuation.
 """
 
 from __future__ import annotations
@@ -36,9 +38,11 @@ from . import common
 
 MARK = "▁"
 #: Parts of inputs, and pairs of pieces, that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 INF = float("inf")
+#: Last pieces that are none: before the first piece, and characters outside the vocabulary.
+BEGIN, UNKNOWN = (1 << 24) - 1, 1 << 24
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,10 +93,20 @@ class Transducer:
                 if spec.get(2):
                     raise ValueError("only the identity normaliser is compiled")
                 self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        self.longest = max(map(len, self.ids), default=1)
         self.cuts = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: the lexicon's states as nested tables of arcs by character; a state with an id ends that piece
+        self.start: dict = {}
+        self.texts: dict[int, str] = {BEGIN: ""}
+        for text, number in self.ids.items():
+            self.texts[number] = text
+            state = self.start
+            for c in text:
+                state = state.setdefault(c, {})
+            state[""] = number
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _piece(self, spec: dict) -> None:
         text, kind, number = spec[1].decode(), spec.get(3, 1), len(self.out)
@@ -131,13 +145,12 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, p: str, q: str) -> bool:
-        """Whether the pair automaton has an arc from p to q; p is empty at the start."""
-        known = self.pairs.get((p, q))
-        if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[p, q] = self.merge(p + q) == ([p, q] if p else [q])
+    def follows(self, p: int, q: int) -> bool:
+        """Whether the pair automaton has an arc from p to q."""
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        x, y = (self.texts[i] if i < UNKNOWN else chr(i - UNKNOWN) for i in (p, q))
+        known = self.pairs[p << 32 | q] = self.merge(x + y) == ([x, y] if x else [y])
         return known
 
     def shortest(self, text: str) -> tuple[int, ...]:
@@ -148,28 +161,35 @@ class Transducer:
         states can have a finite cost, a position keeps its cost, last piece and
         the position before it.
         """
-        n, ids = len(text), self.ids
-        cost, last, back = [INF] * (n + 1), [""] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
+        n, pairs, start = len(text), self.pairs, self.start
+        cost, last, back = [INF] * (n + 1), [BEGIN] * (n + 1), [0] * (n + 1)
+        cost[0] = 0
         for i in range(n):
-            if cost[i] == INF:
+            here = cost[i]
+            if here == INF:
                 continue
-            p = last[i]
-            for j in range(i + 1, min(i + self.longest, n) + 1):
-                q = text[i:j]
-                if q in ids:
-                    weight = 1.0
-                elif j == i + 1:
-                    weight = float(len(q.encode()))
-                else:
-                    continue
-                if cost[i] + weight < cost[j] and self.follows(p, q):
-                    cost[j], last[j], back[j] = cost[i] + weight, q, i
+            p, state, j = last[i] << 32, start, i
+            if "" not in start.get(text[i], start):
+                q = UNKNOWN + ord(text[i])
+                weight = here + len(text[i].encode())
+                if weight < cost[i + 1] and (pairs[p | q] if p | q in pairs else self.follows(last[i], q)):
+                    cost[i + 1], last[i + 1], back[i + 1] = weight, q, i
+            here += 1
+            while j < n:
+                state = state.get(text[j])
+                if state is None:
+                    break
+                j += 1
+                q = state.get("")
+                if q is not None and here < cost[j]:
+                    follows = pairs.get(p | q)
+                    if self.follows(last[i], q) if follows is None else follows:
+                        cost[j], last[j], back[j] = here, q, i
         out: list[int] = []
         j = n
         while j:
             q = last[j]
-            out.extend([ids[q]] if q in ids else [self.bytes[b] for b in reversed(q.encode())])
+            out.extend([q] if q < BEGIN else [self.bytes[b] for b in reversed(chr(q - UNKNOWN).encode())])
             j = back[j]
         return tuple(reversed(out))
 
@@ -186,15 +206,30 @@ class Transducer:
         known = self.known
         for w in parts:
             v = known.get(marked + w)
-            if v is None:
-                v = self.shortest(marked + w)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(w) <= 64:
-                    known[marked + w] = v
-            out += v
+            out += self.part(marked + w) if v is None else v
         return out
 
+    def part(self, text: str) -> tuple[int, ...]:
+        """ids of a part that is not among the young ones; it is cut again where no arc spans a boundary."""
+        v = self.older.get(text)
+        if v is None:
+            cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inside]
+            if not cuts:
+                v = self.shortest(text)
+            else:
+                out: list[int] = []
+                for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True):
+                    w = text[i:j]
+                    x = self.known.get(w)
+                    out += self.part(w) if x is None else x
+                v = tuple(out)
+        if len(text) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.older = dict(self.known)
+                self.known.clear()
+            self.known[text] = v
+        return v
+
     def decode(self, ids: list[int]) -> str:
         """The inverse machine: every piece writes its characters or byte; the first mark goes."""
         out = self.out
