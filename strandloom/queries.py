@@ -495,6 +495,60 @@ def fastq_records(spark, sf):
     return _mates(spark, sf).select("event_id", "mate", F.concat_ws("\n", head, "read", F.lit("+"), F.repeat(F.lit("I"), 100)).alias("record"))
 
 
+# The four queries above draw from documents 0 to 96 alone, as their SQL does. Those below deal the events over all documents.
+
+
+def _dealt(spark, sf):
+    """A read for every event, of any document: 150 bases, or the whole of a shorter chromosome from its start."""
+    g = chroms(spark, sf).withColumn("seq", F.coalesce("seq", F.lit("")))
+    n = g.agg(F.count("*").alias("n_chroms"))
+    k = F.col("event_id")
+    e = read(spark, sf, "events").join(F.broadcast(n)).select("event_id", (F.col("user_id") % HAPS).cast("int").alias("hap_id"), (k % F.col("n_chroms")).alias("chrom_id"))
+    return e.join(g, "chrom_id").withColumns({
+        "start": F.floor(rng.uniform(SEED, "start", k) * F.greatest(F.length("seq") - 149, F.lit(1))).cast("long"),
+        "strand": F.when(rng.uniform(SEED, "strand", k) < 0.5, "F").otherwise("R"),
+    })
+
+
+DEALT = f"""WITH {GENOME}, e AS (SELECT event_id, (user_id % 8)::INT AS hap_id, r.chrom_id, r.name, coalesce(r.seq, '') AS seq,
+    floor({u_sql('start', 'event_id')} * greatest(length(coalesce(r.seq, '')) - 149, 1))::BIGINT AS start, CASE WHEN {u_sql('strand', 'event_id')} < 0.5 THEN 'F' ELSE 'R' END AS strand
+  FROM events JOIN ref r ON r.chrom_id = event_id % (SELECT count(*) FROM documents))"""
+
+
+@query(DEALT + " SELECT hap_id, chrom_id, count(*) AS n_reads FROM e GROUP BY ALL")
+def read_allocation_all(spark, sf):
+    return _dealt(spark, sf).groupBy("hap_id", "chrom_id").agg(F.count("*").alias("n_reads"))
+
+
+@query(DEALT + " SELECT event_id, start, rpad(substr(seq, start + 1, 150), 150, 'N') AS fragment FROM e")
+def read_fragments_all(spark, sf):
+    return _dealt(spark, sf).select("event_id", "start", dna.padded_read("seq", "start", 150).alias("fragment"))
+
+
+def _dealt_mates(spark, sf):
+    """Mates from both ends of what there is of the fragment, each filled with N to 100."""
+    from .operators.reads import mate_columns
+
+    fragment = F.substring(F.col("seq"), F.col("start").cast("int") + 1, F.lit(150))
+    return mate_columns(_dealt(spark, sf).withColumn("fragment", fragment), 100, matepair=False).withColumn("read", F.rpad("read", 100, "N"))
+
+
+DEALT_MATES = DEALT + """, f AS (SELECT *, substr(seq, start + 1, 150) AS fragment FROM e),
+m AS (SELECT event_id, name, start, 1 AS mate, strand, rpad(CASE WHEN strand = 'F' THEN substr(fragment, 1, 100) ELSE reverse(translate(right(fragment, 100), 'TCAG', 'AGTC')) END, 100, 'N') AS read FROM f UNION ALL
+SELECT event_id, name, start, 2, CASE WHEN strand = 'F' THEN 'R' ELSE 'F' END, rpad(CASE WHEN strand = 'R' THEN substr(fragment, 1, 100) ELSE reverse(translate(right(fragment, 100), 'TCAG', 'AGTC')) END, 100, 'N') FROM f)"""
+
+
+@query(DEALT_MATES + " SELECT event_id, mate, strand, read FROM m")
+def mate_geometry_all(spark, sf):
+    return _dealt_mates(spark, sf).select("event_id", "mate", "strand", "read")
+
+
+@query(DEALT_MATES + " SELECT event_id, mate, '@REF-' || regexp_replace(name, '[ :;=%,\\\\|/\"'']', '_', 'g') || '-' || start || '-' || strand || '/' || mate || chr(10) || read || chr(10) || '+' || chr(10) || repeat('I', 100) AS record FROM m")
+def fastq_records_all(spark, sf):
+    head = dna.fastq_id(F.lit("REF"), dna.clean_name("name"), "start", "strand", "mate")
+    return _dealt_mates(spark, sf).select("event_id", "mate", F.concat_ws("\n", head, "read", F.lit("+"), F.repeat(F.lit("I"), 100)).alias("record"))
+
+
 @query("SELECT q::INT AS q, round(CASE WHEN q = 0 THEN 1.0 ELSE power(10, -q / 10) END, 12) AS p, chr((33 + q)::INT) AS c FROM range(0, 42) t(q)")
 def phred(spark, sf):
     q = spark.range(42).select(F.col("id").cast("int").alias("q")).withColumn("p", F.round(dna.phred_probability("q"), 12))
