@@ -140,6 +140,10 @@ class Pieces:
         self._check(pos)
         self._replace(pos + 1, 0, bases)
 
+    def start_with(self, bases: str) -> None:
+        """Before all other bases."""
+        self._replace(0, 0, bases)
+
     def delete(self, pos: int, n: int) -> None:
         """n bases from pos, or as many as there are."""
         self._check(pos)
@@ -181,11 +185,13 @@ def canonical(ref: str, start: int, end: int, text: str) -> list[tuple[int, int,
     return out
 
 
-def edit(chroms: DataFrame, mutations: DataFrame, edits: DataFrame) -> DataFrame:
+def edit(chroms: DataFrame, mutations: DataFrame, edits: DataFrame, wrap: bool = False) -> DataFrame:
     """Mutations after edits (hap_id, chrom_id, seq_no, kind sub | ins | del, pos, text, n), in order of seq_no.
 
     Positions are those of the haplotype as edited so far, so edits of one haplotype and
-    chromosome are folded in one task; different ones run apart.
+    chromosome are folded in one task; different ones run apart. A position outside is an
+    error, or with wrap counts modulo the size at that moment; then a chromosome that has
+    become empty takes insertions only, and one without reference bases stays as it is.
     """
     e = edits.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq_no", "kind", "pos", "text", "n"))).alias("es"))
     rows = e.join(gathered(mutations, *KEYS), list(KEYS), "left").join(chroms.select("chrom_id", "seq"), "chrom_id")
@@ -198,12 +204,19 @@ def edit(chroms: DataFrame, mutations: DataFrame, edits: DataFrame) -> DataFrame
             for h, c, es, ms, seq in zip(f["hap_id"], f["chrom_id"], f["es"], f["ms"], f["seq"], strict=True):
                 p = Pieces(seq, [(m["old_pos"], m["ref_len"], m["alt"]) for m in ms] if ms is not None else [])
                 for x in es:
+                    pos = x["pos"]
+                    if wrap:
+                        if not len(p):
+                            if x["kind"] == "ins" and seq:
+                                p.start_with(x["text"])
+                            continue
+                        pos %= len(p)
                     if x["kind"] == "sub":
-                        p.substitute(x["pos"], x["text"])
+                        p.substitute(pos, x["text"])
                     elif x["kind"] == "ins":
-                        p.insert(x["pos"], x["text"])
+                        p.insert(pos, x["text"])
                     else:
-                        p.delete(x["pos"], x["n"])
+                        p.delete(pos, x["n"])
                 out += [(h, c, *m) for m in merged(p.mutations())]
             yield pd.DataFrame(out, columns=["hap_id", "chrom_id", "old_pos", "ref_len", "alt"])
 

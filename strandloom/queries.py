@@ -568,16 +568,18 @@ def profile_top1(spark, sf):
 
 @query()
 def edit_fold(spark, sf):
-    """Edits in growing coordinates, one per order line, folded per haplotype and chromosome."""
+    """Edits in growing coordinates, one per order line, folded per haplotype and chromosome.
+
+    Positions spread over the haplotype as edited so far, by modulo of its size.
+    """
     g, m = _both(spark, sf)
     n = g.agg(F.count("*").alias("n_chroms"))
-    rows = read(spark, sf, "lineitem").where("l_linenumber <= 2").join(F.broadcast(n)).select(
+    rows = read(spark, sf, "lineitem").join(F.broadcast(n)).select(
         (F.col("l_suppkey") % HAPS).cast("int").alias("hap_id"), (F.col("l_partkey") % F.col("n_chroms")).alias("chrom_id"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq_no"),
         F.when(F.col("l_returnflag") == "A", "sub").when(F.col("l_returnflag") == "N", "ins").otherwise("del").alias("kind"),
-        (F.col("l_orderkey") % 50).alias("pos"), F.when(F.col("l_returnflag") == "A", "G").otherwise("ACA").alias("text"), F.lit(2).alias("n"))
-    long = g.where(F.length("seq") >= 400)
-    return M.edit(long, m, rows.join(long.select("chrom_id"), "chrom_id", "left_semi"))
+        (F.col("l_orderkey") * 104729 + F.col("l_linenumber") * 7919).alias("pos"), F.when(F.col("l_returnflag") == "A", "G").otherwise("ACA").alias("text"), F.lit(2).alias("n"))
+    return M.edit(g.withColumn("seq", F.coalesce("seq", F.lit(""))), m, rows, wrap=True)
 
 
 def _small(spark, sf):

@@ -1,6 +1,9 @@
 """Queries use every row of their tables."""
 
+import numpy as np
+
 from strandloom import queries
+from strandloom.operators import mutations as M
 
 DIR = "/root/testdata/sf0.001"
 
@@ -19,3 +22,32 @@ def test_reads_from_all_documents(spark):
     mates = queries.mate_geometry_all(spark, DIR).collect()
     assert len(mates) == 2 * n_events and all(len(r["read"]) == 100 for r in mates)
     assert queries.fastq_records_all(spark, DIR).count() == 2 * n_events
+
+
+def test_edit_fold_equals_plain_edits(spark, tmp_path):
+    """Every order line edits plain strings, of short, emptied and empty chromosomes too."""
+    rng = np.random.default_rng(3)
+    seqs = ["", "T", "TCA", "GATTACA", "".join(rng.choice(list("TCAG"), 30)), "".join(rng.choice(list("TCAGN"), 450)), "".join(rng.choice(list("TCAG"), 3000))]
+    spark.createDataFrame([(i, s, "en", "s", len(s)) for i, s in enumerate(seqs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(o, int(rng.integers(0, 1000)), int(rng.integers(0, 1000)), k, float(rng.integers(1, 51)), str(rng.choice(["A", "N", "R", "R"]))) for o in range(1, 150) for k in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    g, m = queries._both(spark, str(tmp_path))
+    want = {(r["hap_id"], r["chrom_id"]): r["seq"] for r in M.materialize(g, queries.haps(spark), m).collect()}
+    emptied = set()
+    for o, part, supp, number, _, flag in sorted(lines, key=lambda x: x[0] * 8 + x[3]):
+        at = (supp % queries.HAPS, part % len(seqs))
+        s = want[at]
+        if not seqs[at[1]]:
+            continue
+        p = (o * 104729 + number * 7919) % max(len(s), 1)
+        if flag == "N":
+            s = s[: p + 1] + "ACA" + s[p + 1 :]
+        elif s:
+            s = s[:p] + ("G" + s[p + 1 :] if flag == "A" else s[p + 2 :])
+        want[at] = s
+        emptied |= set() if s else {at}
+    edited = queries.edit_fold(spark, str(tmp_path)).persist()
+    got = {(r["hap_id"], r["chrom_id"]): r["seq"] for r in M.materialize(g, queries.haps(spark), edited).collect()}
+    assert got == want and emptied
+    assert edited.where("chrom_id = 6 AND old_pos > 1000").count() > 0
+    edited.unpersist()
