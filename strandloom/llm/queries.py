@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, pii, quality
-from .audio import align, fingerprints
+from .audio import align_with_members, fingerprints
 from .decontaminate import find_leaks
 from .jaccard import jaccard_join
 from .line_dedup import dedup_lines
@@ -76,7 +76,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have no sound, so each page's bytes are taken as 8-bit PCM."""
     media = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("sound"))
-    return align(fingerprints(media, "page_id", "sound"), id_col="page_id")
+    return align_with_members(fingerprints(media, "page_id", "sound"), id_col="page_id")
 
 
 QUERIES = {
