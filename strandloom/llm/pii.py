@@ -90,8 +90,17 @@ _WORD = re.compile(r"[^\W\d_][\w-]*")
 LABELERS = ("shape", "check", "gazetteer", "context", "counter")
 
 
+_AT = (" at ", " AT ", *(b + s + w for b in "[({" for s in ("", " ") for w in ("at", "AT")))
+
+
+def _written(text: str) -> bool:
+    """Whether one of the forms of @ is there that the loose e-mail pattern needs."""
+    return "@" in text or any(x in text for x in _AT)
+
+
 def _likely(text: str) -> bool:
-    return bool(_DIGIT.search(text)) or "@" in text or " at " in text and " dot " in text or "(at)" in text or "[at]" in text or "{at}" in text
+    """False only where no pattern can match: each has a digit, a form of @, or the seven colons of an address in hex letters."""
+    return bool(_DIGIT.search(text)) or text.count(":") >= 7 or _written(text)
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...], tuple[int, ...]]]:
@@ -104,9 +113,9 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...], tupl
     for kind in KINDS:
         for s, e in base[kind]:
             yield kind, s, e, *judge(kind, text, s, e, True)
-        if kind != "email" and not digits:
+        if kind != "email" and not digits and not (kind == "ip" and text.count(":") >= 7):
             continue
-        if kind == "email" and not ("@" in text or "at" in text or "AT" in text):
+        if kind == "email" and not _written(text):
             continue
         for m in _LOOSE[kind].finditer(text):
             s, e = m.span()

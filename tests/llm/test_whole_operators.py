@@ -1,8 +1,9 @@
 """Operators return something for every row, copies and unseen forms among them."""
 
 import numpy as np
+import pytest
 
-from strandloom.llm import audio
+from strandloom.llm import audio, pii
 
 
 def test_audio_copies(spark):
@@ -18,3 +19,14 @@ def test_audio_copies(spark):
     assert classes == {7: (7, 3), 50: (7, 3), 100: (7, 3), 8: (8, 1), 150: (150, 2), 151: (150, 2), 9: (9, 1), 10: (None, None), 11: (None, None)}
     assert {r["id"]: r["class"] for r in audio.members(prints).collect()} == {k: v[0] for k, v in classes.items()}
     assert sorted((r["query"], r["recording"]) for r in audio.align(prints).collect()) == [g[:2] for g in got]
+
+
+@pytest.mark.parametrize("text", ["john (AT) example (DOT) com", "jane at example.com", "john [ at ] example.com", "BOB AT EXAMPLE DOT COM", "x {AT} example.org"])
+def test_candidates_without_digits(text):
+    """The gate lets through all that the loose pattern matches."""
+    text = f"write to {text}" if text[0] == "x" else text
+    assert pii._LOOSE["email"].search(text) and [c[0] for c in pii.candidates(text)] == ["email"]
+
+
+def test_hex_address_without_digits():
+    assert [c[:3] for c in pii.candidates("host dead:beef:cafe:babe:feed:face:deaf:fade up")] == [("ip", 5, 44)]
