@@ -188,15 +188,32 @@ def _vector(kind: int, features: tuple[int, ...]) -> np.ndarray:
     return x
 
 
-def train(counts: Counter) -> dict[tuple, float]:
+class Model(dict):
+    """P(personal) by (kind, features), and the weights that give it for combinations not seen in fitting."""
+
+    weights: np.ndarray | None = None
+
+    def probability(self, kind: int, features: tuple[int, ...]) -> float:
+        key = (kind, features)
+        if key not in self:
+            if self.weights is None:
+                return 0.0
+            self[key] = float(1 / (1 + np.exp(-_vector(kind, features) @ self.weights)))
+        return self[key]
+
+
+def train(counts: Counter) -> Model:
     """P(personal) for every (kind, features) that occurs, by logistic regression on EM's posteriors.
 
+    The weights stay in the model; without any candidate there are none, and nothing is accepted.
+
     counts: occurrences of (kind, votes, features) in the whole corpus; features and votes
     take few values, so this is every candidate of the corpus, not a sample of them.
     """
     keys = sorted(counts)
+    model = Model()
     if not keys:
-        return {}
+        return model
     weight = np.array([counts[k] for k in keys], float)
     target = np.zeros(len(keys))
     for kind in range(len(KINDS)):
@@ -215,7 +232,10 @@ def train(counts: Counter) -> dict[tuple, float]:
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return {(k[0], k[2]): float(1 / (1 + np.exp(-_vector(k[0], k[2]) @ w))) for k in keys}
+    model.weights = w
+    for k in keys:
+        model.probability(k[0], k[2])
+    return model
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +249,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], small), pa.array([k[2] for k in keys], small), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "votes", "features", "n"])
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict[tuple, float]:
+def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the patterns of votes and features over every text, and train on the counts.
 
     What comes to the driver is one row per pattern that occurs: at most 4 kinds
@@ -240,15 +260,15 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[tuple, float]:
     return train(Counter({(r["kind"], tuple(r["votes"]), tuple(r["features"])): r["n"] for r in rows.collect()}))
 
 
-def added_spans(text: str, model: dict[tuple, float], cut: float = 0.5) -> list[tuple[str, int, int]]:
+def added_spans(text: str, model: Model, cut: float = 0.5) -> list[tuple[str, int, int]]:
     out = []
     for kind, s, e, _, features in candidates(text):
-        if not features[0] and model.get((KINDS.index(kind), features), 0.0) >= cut:
+        if not features[0] and model.probability(KINDS.index(kind), features) >= cut:
             out.append((kind, s, e))
     return out
 
 
-def find_personal_data(docs: DataFrame, model: dict[tuple, float], cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, model: Model, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans): spans as kind:start:end in code points, by kind and then start.
 
     `base` holds the matches of the fixed patterns, `spans` those and the

@@ -30,3 +30,15 @@ def test_candidates_without_digits(text):
 
 def test_hex_address_without_digits():
     assert [c[:3] for c in pii.candidates("host dead:beef:cafe:babe:feed:face:deaf:fade up")] == [("ip", 5, 44)]
+
+
+def test_model_scores_unseen_features(spark):
+    """A model fitted on some forms judges others by its weights, in workers too."""
+    seen = ["mail john (at) example (dot) com"] * 30 + ["look at that.thing now"] * 30
+    model = pii.fit(spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string"))
+    new = "so jane [at] example dot org"
+    ((kind, s, e, _, features),) = pii.candidates(new)
+    assert (0, features) not in model
+    found = pii.find_personal_data(spark.createDataFrame([(1, new)], "doc_id long, text string"), model).first()
+    assert found["spans"] == [f"{kind}:{s}:{e}"]
+    assert pii.added_spans(new, pii.train(pii.Counter())) == []
