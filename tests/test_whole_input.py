@@ -51,3 +51,7 @@ def test_edit_fold_equals_plain_edits(spark, tmp_path):
     assert got == want and emptied
     assert edited.where("chrom_id = 6 AND old_pos > 1000").count() > 0
     edited.unpersist()
+
+
+def test_all_species(spark):
+    assert queries.evo_rates_theta_all(spark, DIR).where("theta IS NOT NULL").count() == 15
