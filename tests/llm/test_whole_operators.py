@@ -42,3 +42,14 @@ def test_model_scores_unseen_features(spark):
     found = pii.find_personal_data(spark.createDataFrame([(1, new)], "doc_id long, text string"), model).first()
     assert found["spans"] == [f"{kind}:{s}:{e}"]
     assert pii.added_spans(new, pii.train(pii.Counter())) == []
+
+
+def test_limits_from_whole_recordings(spark):
+    """What lies behind the first bytes of a long recording moves the limits."""
+    rng = np.random.default_rng(5)
+    quiet, loud = bytes([128]) * 40_000, bytes(rng.integers(0, 256, 40_000).astype(np.uint8))
+    media = spark.createDataFrame([(1, quiet + loud)], "id long, sound binary")
+    front = spark.createDataFrame([(1, quiet)], "id long, sound binary")
+    assert not np.allclose(audio.fit_limits(media, "id", "sound", most_bytes=32_000), audio.fit_limits(front, "id", "sound", most_bytes=32_000))
+    whole = audio.filtered(audio.chroma(np.frombuffer(quiet + loud, np.uint8)))
+    assert np.allclose(audio.fit_limits(media, "id", "sound"), np.quantile(whole, [0.25, 0.5, 0.75], axis=0).T)
