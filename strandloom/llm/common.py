@@ -14,45 +14,55 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKAGE = Path(__file__).resolve().parents[1]
+#: Bytes of an Arrow batch, where the session keeps Spark's own default of 64 MB.
+BATCH_BYTES = 4 << 20
+#: Bytes that one Python worker may remember from batch to batch, in all.
+MEMORY_BYTES = 64 << 20
 _shipped: set[str] = set()
-_tables: list[str] = []
+_tables: dict[str, SparkSession] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship this package to the executors once per application, and keep Arrow batches small.
+    """Ship this package to the executors once per application, and bound Arrow batches by bytes.
 
-    Texts may be long, so a batch has at most 1,000 rows; a batch then holds a
-    few MB of ordinary documents, and never more than 1,000 of the longest.
+    Texts may be long, and Spark reads the bound from the session when a job runs, so it is
+    set there: 4 MB a batch (or one longer row), unless the user has chosen a bound.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
-        target = Path(tempfile.mkdtemp()) / f"{PACKAGE.name}_pkg.zip"
+        folder = tempfile.mkdtemp()  # the driver serves the file from here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        target = Path(folder) / f"{PACKAGE.name}_pkg.zip"
         with zipfile.ZipFile(target, "w") as z:
             for f in sorted(PACKAGE.rglob("*.py")):
                 z.write(f, f"{PACKAGE.name}/{f.relative_to(PACKAGE)}")
         sc.addPyFile(str(target))
         _shipped.add(sc.applicationId)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64MB").lower() in ("64mb", "67108864b", "67108864"):
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set (tests)."""
+    """The folder that the cluster shares; one of our own only in a local session that sets none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-        _tables.append(base)
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/strandloom/{name}-{uuid.uuid4().hex}"
-    _tables.append(path)
+    _tables[path] = spark
     return path
 
 
@@ -61,16 +71,69 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, on whatever file system they are."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    if spark := _tables.pop(path, None):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for path in _tables:
-        if path.startswith("file:"):
+    """What results still read lasts as long as the session."""
+    for path in list(_tables):
+        if _tables[path].sparkContext._jsc is not None:
+            _delete(path)
+        elif path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+class Memory:
+    """What a worker has computed: a young and an old generation, bounded together by bytes.
+
+    `young` may be read directly; put() costs an entry at its bytes and, when the young
+    generation is full, makes it the old one and forgets the one before.
+    """
+
+    def __init__(self, most_bytes: int) -> None:
+        self.most, self.size = most_bytes // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def put(self, key, value, n_bytes: int) -> None:
+        if self.size + n_bytes > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+        self.size += n_bytes
+
+
+def text_bytes(text: str) -> int:
+    """About what a string costs as a key of a table, with its entry."""
+    return 150 + (len(text) if text.isascii() else 4 * len(text))
+
+
+_kept: dict = {}
+
+
+def worker_keeps(key, make):
+    """The object of this key in this Python worker; a worker keeps one, and frees it for the next."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and no other, so that extra columns cannot clash with ours."""
     return df.select(*[df[f"`{n}`"] for n in names])
@@ -82,6 +145,20 @@ def carried(df: DataFrame, *taken: str) -> Column:
     return F.struct(*(rest or [F.lit(True).alias("none")])).alias("rest")
 
 
+def without_clash(df: DataFrame, *added: str) -> None:
+    """Raise if df has a column, in any case of letters, that an operator is going to add."""
+    if clash := sorted({c for c in df.columns if c.lower() in {a.lower() for a in added}}):
+        raise ValueError(f"the table already has the columns {', '.join(clash)} that this operator adds; rename them first")
+
+
+def ids(df: DataFrame, id_col: str) -> Column:
+    """The id column as long; ids that are no integers are refused, as a cast would make nulls of them."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must be of an integer type, not {kind.simpleString()}")
+    return df[f"`{id_col}`"].cast("long")
+
+
 def restored(out: DataFrame, docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """docs' columns in their order, from i, t and rest, then more."""
     columns = [F.col("i").alias(c) if c == id_col else F.col("t").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns]
@@ -160,10 +237,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x")).select("x.u", "x.v")
         small = stored(small.where("u <> v").distinct(), name)
+        drop(e, large)
         # done when every node points at a node that points nowhere
         deep = small.groupBy("u").agg(F.countDistinct("v").alias("n")).where("n > 1").limit(1).count()
         if not deep and not small.join(small.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = small.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._stored_at = small._stored_at
+            return out
         e = small
 
 

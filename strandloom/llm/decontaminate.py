@@ -170,12 +170,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 4
     Null and empty texts have no words; a null item id or text is no item;
     items with equal ids are one item; repeated documents are judged one by
     one; empty tables give no hits or no rows. Other columns go through as they are;
-    the four that are added must not be among them.
+    a table that has one of the four that are added already is refused.
     """
+    common.without_clash(docs, "n_words", "n_hit", "spans", "items")
     spark = common.prepare(docs.sparkSession)
-    out = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<bigint>").alias("items"), common.carried(docs, id_col, text_col))
+    out = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<bigint>").alias("items"), common.carried(docs, id_col, text_col))
     kind = common.sql_type(out, "rest")
-    for ids, texts in _item_blocks(benchmark.select(benchmark[f"`{item_col}`"].cast("long").alias("i"), benchmark[f"`{item_text_col}`"].alias("t")).dropna()):
+    for ids, texts in _item_blocks(benchmark.select(common.ids(benchmark, item_col).alias("i"), benchmark[f"`{item_text_col}`"].alias("t")).dropna()):
         shared = spark.sparkContext.broadcast(build(ids, texts, span, k))
         out = out.select("i", "t", "spans", "items", "rest").mapInArrow(_pass(shared), f"i long, t string, spans array<int>, items array<long>, n_words long, rest {kind}")
     lengths = F.aggregate(F.transform("spans", lambda x, j: F.when(j % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)

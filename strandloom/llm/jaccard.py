@@ -3,34 +3,36 @@
 A document is the set of its distinct word n-grams, hashed to 64 bits. Equal
 sets are one class. Classes whose similarity reaches the threshold are linked:
 
-1. Tokens have one global order: those found to be frequent come last, all others
-   by their hash. Frequent are tokens that repeat within blocks of the corpus, and
-   then, in ROUNDS of counting, those that several documents have among the tokens
-   that the order so far puts first. Two sets that reach the threshold share a
-   token among the first few of each (prefix filter), so only those tokens are
-   indexed; the order decides what it costs, never what is found.
-2. Every indexed token has a pivot, its smallest class. Each class is compared
+1. Tokens have one global order, by the exact number of classes that hold them (in 255
+   steps), rarest first, then by hash. The numbers come from an exchange between blocks
+   of documents and ranges of tokens: a block sends its distinct tokens to their ranges,
+   a range counts them over all blocks and sends the numbers back. Both are sized by the
+   corpus, so the plan is the same at every size.
+2. Two sets that reach the threshold share a token among the first few of each in this
+   order (prefix filter), so only those are indexed, and of them only the ones that a
+   second class holds too.
+3. Every indexed token has a pivot, its smallest class. Each class is compared
    with the pivots of its tokens, which is linear in the index, and what is
    linked so makes groups of similar documents.
-3. The token-group matrix says which groups hold an indexed token. A query class
-   looks its tokens up there, and gets the groups that it isn't in yet. Each
-   group stores the union of its members' tokens as the most that any member has
-   in each of 128 cells of the token space; the sum over the cells of the smaller
-   of query and union bounds the overlap with every member. Only groups whose
-   bound reaches the needed overlap are opened, and of their members only those
-   that share a token with the query early enough in the order, and whose own bound
-   reaches the overlap, are compared token by token.
+4. The token-group matrix says which groups hold an indexed token. A query class
+   looks its tokens up there, and gets the groups that it isn't in yet. Each group
+   stores the union of its members' tokens, in pieces of bounded size; how many of the
+   query's tokens are in the union bounds the overlap with every member. Only groups
+   whose bound reaches the needed overlap are opened, and of their members only those
+   that share a token with the query early enough in the order are compared.
 
 Pairs within a group are never compared, as they are connected already.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,10 @@ from . import common
 from .words import grams, not_white, word_hashes
 
 CELLS = 128
-#: Tokens that a block of the corpus counts at once.
-BLOCK_TOKENS = 2_000_000
-#: Frequent tokens sent to the executors, at most (8 bytes each).
-MOST_FREQUENT = 1 << 21
-#: Times that indexed tokens are counted to improve the order.
-ROUNDS = 2
-#: Ids sent to the executors as a broadcast, at most; more are joined by a shuffle.
-MOST_IDS = 1 << 21
+#: Tokens of a block of documents, and of a range of tokens, on average.
+BLOCK_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 20
+#: Tokens in a piece of a group's union, on average.
+UNION_TOKENS = 4096
 
 
 def token_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -78,115 +76,151 @@ def smallest_size(percent: int) -> int:
     return n
 
 
-def _frequent(n: int):
-    """Tokens that several documents of a block have, with their numbers."""
+def _described(n: int):
+    """Size and 128-bit hash of every document's set, and the first document of its block with that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, total = [], 0, 0
-
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts >= 3
-            return pa.RecordBatch.from_arrays([pa.array(np.append(values[many].view(np.int64), 0)), pa.array(np.append(counts[many], 0)), pa.array(np.append(np.zeros(many.sum(), np.int64), total))], ["token", "n", "total"])
-
         for b in common.blocks(batches):
             sets = token_sets(*common.byte_view(b, "t"), n)
-            held += sets
-            size += (more := sum(map(len, sets)))
-            total += more
-            if size >= BLOCK_TOKENS:
-                yield flush()
-                held, size, total = [], 0, 0
-        if held:
-            yield flush()
+            size = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            doc = np.repeat(np.arange(len(sets)), size)
+            h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            np.add.at(h1, doc, common.mix64(every + np.uint64(11)))
+            np.add.at(h2, doc, common.mix64(every ^ np.uint64(0x5851F42D4C957F2D)))
+            known = b.column(0).is_valid().to_numpy(zero_copy_only=False) & (size > 0)
+            i, k = b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy()
+            order = np.lexsort((k, i, h2, h1, size, ~known))
+            first, last = np.arange(len(order)), None
+            for at, row in enumerate(order.tolist()):
+                if last is not None and known[row] and size[row] == size[last] and h1[row] == h1[last] and h2[row] == h2[last]:
+                    first[row] = last
+                else:
+                    last = row
+            none = pa.array(~known)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(i[first], mask=~known), pa.array(k[first], mask=~known)], ["i", "k", "n", "h1", "h2", "li", "lk"])
 
     return run
 
 
-def frequent_tokens(source: DataFrame, n: int) -> np.ndarray:
-    """Sorted tokens that are frequent in blocks; never more than MOST_FREQUENT.
+# --- the exchange that counts tokens ---------------------------------------------------------------
 
-    The tokens' numbers add up to no more than all documents' set sizes, so
-    dividing that total by MOST_FREQUENT gives a limit that fewer tokens reach.
-    """
-    counts = common.stored(source.select("t").mapInArrow(_frequent(n), "token long, n long, total long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "frequent")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    limit = max(8, -(-total // MOST_FREQUENT))
-    rows = counts.where(F.col("n") >= limit).select("token").toArrow()
-    return np.sort(rows["token"].to_numpy().view(np.uint64))
-
-
-def first_tokens(sets: list[np.ndarray], frequent: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each set, the tokens it is found by, and the further ones that it looks up."""
-    size = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    late = np.zeros(len(every), bool)
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)] == every
-    look, index = prefix_lengths(size, percent)
-    ends, least, out = np.cumsum(size), smallest_size(percent), []
-    for j, s in enumerate(sets):
-        if len(s) < least:
-            out.append((s[:0].view(np.int64), s[:0].view(np.int64)))
-            continue
-        z = late[ends[j] - len(s) : ends[j]]
-        ordered = np.concatenate([s[~z], s[z]])[: look[j]].view(np.int64)
-        out.append((ordered[: index[j]], ordered[index[j] :]))
-    return out
 
+def _wanted(left: pa.Table, right: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """i and k of a block's classes, the sizes of their sets and the tokens in a row."""
+    i, k = left["i"].to_numpy(), left["k"].to_numpy()
+    reps = set(zip(right["i"].to_pylist(), right["k"].to_pylist(), strict=True))
+    rows = []
+    for row, key in enumerate(zip(i.tolist(), k.tolist(), strict=True)):
+        if key in reps:
+            reps.discard(key)  # repeated rows count once
+            rows.append(row)
+    rows = np.array(rows, np.int64)
+    sets: list[np.ndarray] = []
+    chosen = left.select(["t"]).take(pa.array(rows))
+    for b in common.blocks(chosen.to_batches()):
+        sets += token_sets(*common.byte_view(b, "t"), n)
+    return i[rows], k[rows], np.array([len(s) for s in sets], np.int64), np.concatenate([*sets, np.zeros(0, np.uint64)])
 
-def _indexed(n: int, percent: int, shared):
-    """All tokens that documents are found by, for counting; equal sets of a block count once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
-            sets = token_sets(*common.byte_view(b, "t"), n)
-            sets = list({s.tobytes(): s for s in sets}.values())
-            tokens = [x for x, _ in first_tokens(sets, shared.value, percent)]
-            values, counts = np.unique(np.concatenate([*tokens, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["token", "n"])
+def _bounds(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the 2 ** bits ranges begins in sorted tokens."""
+    if not bits:
+        return np.array([0, len(tokens)])
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
 
-    return run
 
+def _ask(n: int, bits: int):
+    """A block's distinct tokens to their ranges: 32 more bits of each, and how many classes hold it."""
 
-def reordered(source: DataFrame, n: int, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """frequent and the indexed tokens of at least three documents; still at most MOST_FREQUENT."""
-    shared = source.sparkSession.sparkContext.broadcast(frequent)
-    counts = source.select("t").mapInArrow(_indexed(n, percent, shared), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
-    counts = common.stored(counts, "counts")
-    room, limit = MOST_FREQUENT - len(frequent), 3
-    # one row per number of documents up to 1,000: the lowest limit that leaves few enough tokens
-    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
-        room -= r["count"]
-        if room < 0:
-            limit = r["n"] + 1
-            break
-    more = counts.where(F.col("n") >= limit).limit(MOST_FREQUENT).select("token").toArrow()
-    return np.union1d(frequent, more["token"].to_numpy().view(np.uint64))
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        _, _, _, every = _wanted(left, right, n)
+        tokens, counts = np.unique(every, return_counts=True)
+        bounds = _bounds(tokens, bits)
+        low = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+        counts = np.minimum(counts, 65535).astype("<u2")
+        parts = np.flatnonzero(np.diff(bounds))
+        cut = [slice(bounds[p], bounds[p + 1]) for p in parts.tolist()]
+        return pa.table({"part": pa.array(parts, pa.int32()), "b": pa.array(np.full(len(parts), key[0].as_py()), pa.int64()), "low": pa.array([low[c].tobytes() for c in cut], pa.binary()), "counts": pa.array([counts[c].tobytes() for c in cut], pa.binary())})
 
+    return run
 
-def _describe(n: int, percent: int, shared):
-    """Size, 128-bit set hash, first tokens and cell counts of every document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
-            sets = token_sets(*common.byte_view(b, "t"), n)
-            size = np.array([len(s) for s in sets], np.int64)
-            every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            doc = np.repeat(np.arange(len(sets)), size)
-            h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-            np.add.at(h1, doc, common.mix64(every + np.uint64(11)))
-            np.add.at(h2, doc, common.mix64(every ^ np.uint64(0x5851F42D4C957F2D)))
-            first, cells = first_tokens(sets, shared.value, percent), np.zeros((len(sets), CELLS), np.int64)
-            np.add.at(cells, (doc, (every >> np.uint64(57)).astype(np.int64)), 1)
-            longs = pa.list_(pa.int64())
-            # a cell's count is capped at 255, which 255 stands for "or more"; see bound()
-            packed = np.minimum(cells, 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([x for x, _ in first], longs), pa.array([y for _, y in first], longs), pa.array([r.tobytes() for r in packed], pa.binary())], ["i", "n", "h1", "h2", "index", "look", "cells"])
+def steps(number: np.ndarray) -> np.ndarray:
+    """Numbers of classes in 255 steps: exact up to 200, then four to a doubling."""
+    wide = 200 + np.minimum(55, 4 * np.log2(np.maximum(number, 1) / 200))
+    return np.where(number <= 200, number, wide).astype(np.uint8)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The numbers of a range's tokens over all blocks, to each block in its own order."""
+    lows = [np.frombuffer(x, "<u4") for x in table["low"].to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, "<u2") for x in table["counts"].to_pylist()])
+    _, at = np.unique(np.concatenate(lows), return_inverse=True)
+    levels = steps(np.bincount(at, counts))[at]
+    ends = np.cumsum([len(x) for x in lows]).tolist()
+    rows = [levels[e - len(x) : e].tobytes() for x, e in zip(lows, ends, strict=True)]
+    return pa.table({"b": table["b"], "part": table["part"], "levels": pa.array(rows, pa.binary())})
+
+
+def _enter(n: int, percent: int):
+    """Classes with tokens to be found by that other classes have too; all their tokens, and those with their places."""
+    least = smallest_size(percent)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        asked = right.filter(pc.is_null(right["part"]))
+        answers = right.filter(pc.is_valid(right["part"])).sort_by("part")
+        i, k, size, every = _wanted(left, asked, n)
+        levels = np.frombuffer(b"".join(answers["levels"].to_pylist()), np.uint8)
+        tokens, at = np.unique(every, return_inverse=True)
+        if len(tokens) != len(levels):
+            raise ValueError("the answers do not fit the block's tokens")
+        level, doc = levels[at], np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((every, level, doc))
+        start = np.cumsum(size) - size
+        place = np.arange(len(every)) - np.repeat(start, size)
+        look, index = prefix_lengths(size, percent)
+        use = (place < look[doc]) & (level[order] > 1) & (size[doc] >= least)
+        found, owner, place = every[order][use].view(np.int64), doc[use], place[use]
+        rows = np.unique(owner)
+        ptr = np.append(np.searchsorted(owner, rows), len(owner))
+        cells = np.zeros((len(rows), CELLS), np.int64)
+        sets = [every[start[r] : start[r] + size[r]] for r in rows.tolist()]
+        for j, x in enumerate(sets):
+            cells[j] = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=CELLS)
+        # a cell's count is capped at 255, which stands for "or more"; see bound()
+        packed = np.minimum(cells, 255).astype(np.uint8)
+        return pa.table({
+            "i": pa.array(i[rows], pa.int64()), "k": pa.array(k[rows], pa.int64()), "n": pa.array(size[rows], pa.int64()),
+            "cells": pa.array([r.tobytes() for r in packed], pa.binary()),
+            "tokens": common.lists(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([[0], np.cumsum(size[rows])]), pa.int64()),
+            "found": common.lists(found, ptr, pa.int64()),
+            "place": common.lists(place, ptr, pa.int64()),
+            "index": pa.array(index[rows], pa.int64()),
+        })
 
     return run
 
 
+def indexed(source: DataFrame, reps: DataFrame, total: int, n: int, percent: int) -> DataFrame:
+    """Classes (i, k) that share an indexed token with another class: see _enter for the columns.
+
+    Texts are dealt to blocks by a hash of id and text, once: both uses read the same
+    shuffle. A block sends four bytes for each distinct token, and gets one back.
+    """
+    blocks = max(1, math.ceil(total / BLOCK_TOKENS))
+    bits = min(24, max(0, math.ceil(math.log2(max(1, total / RANGE_TOKENS)))))
+    block = F.pmod(F.xxhash64(F.lit(5), "i", "k"), F.lit(blocks)).alias("b")
+    texts = source.where("i IS NOT NULL").select(block, "i", "k", "t").groupBy("b")
+    wanted = reps.select(block, "i", "k")
+    asked = texts.cogroup(wanted.groupBy("b")).applyInArrow(_ask(n, bits), "part int, b long, low binary, counts binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "b long, part int, levels binary")
+    both = wanted.unionByName(answers, allowMissingColumns=True).select("b", "i", "k", "part", "levels")
+    shape = "i long, k long, n long, cells binary, tokens array<long>, found array<long>, place array<long>, index long"
+    return texts.cogroup(both.groupBy("b")).applyInArrow(_enter(n, percent), shape)
+
+
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The most tokens that sets with these cell counts may share; a full cell in both bounds nothing."""
     low = np.minimum(a, b).astype(np.int64)
@@ -194,13 +228,13 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bounded(percent: int):
-    """Keep pairs (a, b) whose bound reaches the overlap that their sizes need."""
+    """Keep pairs (ai, ak, bi, bk) whose bound reaches the overlap that their sizes need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (4, 5))
-                na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (6, 7))
+                na, nb = b.column(4).to_numpy(), b.column(5).to_numpy()
                 # 100 * shared >= percent * (na + nb - shared)
                 ok = bound(x, y).astype(float) * (100 + percent) >= percent * (na + nb)
                 yield b.select([0, 1, 2, 3]).filter(pa.array(ok))
@@ -208,53 +242,45 @@ def _bounded(percent: int):
     return run
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, the most that any member of a group has in each cell."""
-    for b in batches:
-        if b.num_rows:
-            g = b.column(0).to_numpy()
-            order = np.argsort(g, kind="stable")
-            cells = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, CELLS)[order]
-            heads = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
-            most = np.maximum.reduceat(cells, heads, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(g[order][heads]), pa.array([r.tobytes() for r in most], pa.binary())], ["g", "cells"])
+class _Join:
+    """Comparing pairs (a, b) of classes, each a struct of i and k."""
 
+    def __init__(self, classes: DataFrame, percent: int) -> None:
+        self.classes, self.percent = classes, percent
 
-def _tokens(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = token_sets(*common.byte_view(b, "t"), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["i", "tokens"])
+    def side(self, name: str, *columns: str) -> DataFrame:
+        return self.classes.select(F.col("c").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in columns])
 
-    return run
+    def reaching(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs that reach the threshold: those that sizes and cells allow, token by token."""
+        near = (F.col("n_a") * 100 >= F.col("n_b") * self.percent) & (F.col("n_b") * 100 >= F.col("n_a") * self.percent)
+        wide = pairs.join(self.side("b", "n", "cells"), "b").join(self.side("a", "n", "cells"), "a").where(near)
+        flat = wide.select("a.i", "a.k", "b.i", "b.k", "n_a", "n_b", "cells_a", "cells_b").toDF("ai", "ak", "bi", "bk", "na", "nb", "ca", "cb")
+        some = flat.mapInArrow(_bounded(self.percent), "ai long, ak long, bi long, bk long")
+        some = common.stored(some.select(F.struct(F.col("ai").alias("i"), F.col("ak").alias("k")).alias("a"), F.struct(F.col("bi").alias("i"), F.col("bk").alias("k")).alias("b")), "probable")
+        both = some.join(self.side("b", "tokens"), "b").join(self.side("a", "tokens"), "a")
+        shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        return common.stored(both.where(shared * (100 + self.percent) >= (F.size("tokens_a") + F.size("tokens_b")) * self.percent).select("a", "b"), "links")
 
 
-class _Join:
-    def __init__(self, source: DataFrame, described: DataFrame, n: int, percent: int) -> None:
-        self.source, self.described, self.n, self.percent = source, described, n, percent
-
-    def sized(self, a: str = "na", b: str = "nb") -> Column:
-        """Whether two sizes can reach the threshold."""
-        return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
-
-    def probable(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb) of pairs (a, b) of classes that their sizes and cells allow."""
-        d = self.described.select("i", "n", "cells")
-        left = d.select(F.col("i").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
-        right = d.select(F.col("i").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-        wide = pairs.join(right, "b").join(left, "a").where(self.sized()).select("a", "b", "na", "nb", "ca", "cb")
-        return wide.mapInArrow(_bounded(self.percent), "a long, b long, na long, nb long")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs that reach the threshold, compared token by token."""
-        pairs = common.stored(pairs, "probable")
-        ids = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "ids")
-        small = ids.count() <= MOST_IDS
-        chosen = self.source.join(F.broadcast(ids) if small else ids, "i", "left_semi")
-        sets = common.stored(chosen.select("i", "t").mapInArrow(_tokens(self.n), "i long, tokens array<long>"), "sets")
-        both = pairs.join(sets.select(F.col("i").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("i").alias("a"), F.col("tokens").alias("ta")), "a")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        return common.stored(both.where(shared * (100 + self.percent) >= (F.size("ta") + F.size("tb")) * self.percent).select("a", "b"), "links")
+def opened_groups(lookups: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(c, h): the look-ups of class c in group h whose bound reaches the overlap that a member needs.
+
+    A group's union is kept in pieces by a hash of the token, as many as its size asks
+    for; the overlap with a query is the sum over the pieces.
+    """
+    held = lookups.select(F.col("h").alias("g")).distinct()
+    members = classes.join(groups, "c").join(held, "g", "left_semi")
+    sizes = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    tokens = common.stored(members.select("g", F.explode("tokens").alias("token")).distinct(), "unions")
+    sizes = tokens.groupBy("g").agg(F.ceil(F.count("*") / UNION_TOKENS).cast("long").alias("pieces")).join(sizes, "g")
+    pieces = tokens.join(sizes, "g").groupBy("g", F.pmod("token", "pieces").alias("piece")).agg(F.collect_list("token").alias("u"), F.first("pieces").alias("pieces"), F.first("least").alias("least"), F.first("most").alias("most"))
+    asked = lookups.join(pieces.withColumnRenamed("g", "h"), "h").join(classes.select("c", "n", "tokens"), "c")
+    asked = asked.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
+    overlap = asked.groupBy("c", "h").agg(F.sum(F.size(F.array_intersect("tokens", "u"))).alias("most_shared"), F.first("n").alias("n"), F.first("least").alias("least"))
+    # the smallest member that could link decides what the bound must reach
+    need = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    return overlap.where(F.col("most_shared") * (100 + percent) >= (F.col("n") + need) * percent).select("c", "h")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,90 +294,58 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     Very long texts are single rows of the index like any other; an empty table
     gives an empty result; other columns are not read.
 
-    A large group of copies is one class (a grouped minimum, combined before the
-    shuffle); a large group of near copies meets at its pivots, not pair by pair;
-    joins on a hot token or class have one row on the other side and split on skew.
+    A large group of copies is reduced to one row for each block that holds some before
+    anything is shuffled by its set, and every copy finds its class through that row; a
+    large group of near copies meets at its pivots, not pair by pair.
     """
-    spark = common.prepare(docs.sparkSession)
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
-    frequent = frequent_tokens(source, n)
-    for _ in range(ROUNDS):
-        frequent = reordered(source, n, percent, frequent)
-    shared = spark.sparkContext.broadcast(frequent)
-    schema = "i long, n long, h1 long, h2 long, index array<long>, look array<long>, cells binary"
-    described = common.stored(source.mapInArrow(_describe(n, percent, shared), schema), "described")
+    common.prepare(docs.sparkSession)
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t")).select("i", F.xxhash64("t").alias("k"), "t")
+    described = common.stored(source.mapInArrow(_described(n), "i long, k long, n long, h1 long, h2 long, li long, lk long"), "described")
     keys = ["n", "h1", "h2"]
-    full = described.where("n > 0 AND i IS NOT NULL")
-    classes = full.groupBy(*keys).agg(F.min("i").alias("rep"))
-    members = common.stored(full.select("i", *keys).join(classes, keys).select("i", "n", "rep"), "members")
-    reps = members.select(F.col("rep").alias("i"), "n").distinct()
-    mine = common.stored(described.join(reps, ["i", "n"], "left_semi"), "classes")
-    job = _Join(source, mine, n, percent)
-
-    # rest: how many tokens a class has after this one
-    found_by = mine.select("i", "n", F.posexplode("index").alias("p", "token")).select("i", "token", F.lit(True).alias("x"), "n", (F.col("n") - F.col("p") - 1).alias("rest"))
-    looked_up = mine.select("i", "n", F.size("index").alias("k"), F.posexplode("look").alias("p", "token")).select("i", "token", F.lit(False).alias("x"), "n", (F.col("n") - F.col("k") - F.col("p") - 1).alias("rest"))
-    entries = found_by.union(looked_up)
-    pivots = entries.groupBy("token").agg(F.min(F.when(F.col("x"), F.col("i"))).alias("pivot"), F.min("i").alias("low"), F.max("i").alias("high")).where("pivot IS NOT NULL AND low < high").select("token", "pivot")
-    index = common.stored(entries.join(pivots, "token").select("token", "i", "x", "n", "rest", "pivot"), "index")
-    pairs = index.where("i <> pivot").select(F.greatest("i", "pivot").alias("a"), F.least("i", "pivot").alias("b")).distinct()
-    links = job.linked(job.probable(pairs))
+    heads = described.where("i = li AND k = lk").select("i", "k", *keys).distinct()
+    classes = heads.groupBy(*keys).agg(F.min(F.struct("i", "k")).alias("c"))
+    heads = common.stored(heads.join(classes, keys).select("i", "k", "c", "n"), "heads")
+    reps = heads.where("i = c.i AND k = c.k").select("i", "k", "n")
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    mine = common.stored(indexed(source, reps.drop("n"), total, n, percent).withColumn("c", F.struct("i", "k")).drop("i", "k"), "classes")
+    job = _Join(mine, percent)
+
+    # x: whether the class is found by the token, or only looks it up; rest: how many tokens it has after this one
+    entries = mine.select("c", "n", "index", F.explode(F.arrays_zip("found", "place")).alias("e")).select(F.col("e.found").alias("token"), "c", (F.col("e.place") < F.col("index")).alias("x"), "n", (F.col("n") - F.col("e.place") - 1).alias("rest"))
+    pivots = entries.groupBy("token").agg(F.min(F.when(F.col("x"), F.col("c"))).alias("pivot"), F.min("c").alias("low"), F.max("c").alias("high")).where("pivot IS NOT NULL AND low < high").select("token", "pivot")
+    index = common.stored(entries.join(pivots, "token"), "index")
+    pairs = index.where("c <> pivot").select(F.greatest("c", "pivot").alias("a"), F.least("c", "pivot").alias("b")).distinct()
+    links = job.reaching(pairs)
     # an id with several texts connects their classes
-    several = members.groupBy("i").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("i", "b")
-    same = members.join(several, "i").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
-    links = links.union(common.stored(same, "same"))
-    groups = common.connected(links)
+    several = described.where("li IS NOT NULL").groupBy("i").count().where("count > 1").select("i")
+    texts = described.join(several, "i").select("i", "li", "lk").distinct().join(heads.select(F.col("i").alias("li"), F.col("k").alias("lk"), "c"), ["li", "lk"])
+    same = texts.select("i", F.col("c.i").alias("r")).where("i <> r").select(F.col("i").alias("a"), F.col("r").alias("b"))
+    nodes = common.stored(links.select(F.col("a.i").alias("a"), F.col("b.i").alias("b")).union(same), "edges")
+    groups = common.connected(nodes)
 
     # the token-group matrix, for tokens that more than one group holds
-    grouped = index.drop("pivot").join(groups.select(F.col("node").alias("i"), "component"), "i", "left").select("token", "i", "x", "n", "rest", F.coalesce("component", "i").alias("g"))
+    member = mine.select("c", F.col("c.i").alias("node")).join(groups, "node", "left").select("c", F.coalesce("component", "node").alias("g"))
+    member = common.stored(member, "members")
+    grouped = index.drop("pivot").join(member, "c")
     mixed = grouped.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("token")
     left = common.stored(grouped.join(mixed, "token", "left_semi"), "mixed")
     matrix = left.groupBy("token", "g").agg(F.max("x").alias("gx"), F.max("rest").alias("grest"), F.min("n").alias("gn")).withColumnRenamed("g", "h")
     # of two classes that link, the first token that both have leaves enough of each: others cannot be first
     enough = (1 + F.least("rest", "grest")) * (100 + percent) >= (F.col("n") + F.greatest("gn", F.ceil(F.col("n") * percent / 100))) * percent
-    opened = left.join(matrix, "token").where((F.col("g") != F.col("h")) & (F.col("x") | F.col("gx")) & enough).select("i", "h").distinct()
-    opened = common.stored(opened, "lookups")
-    held = opened.select(F.col("h").alias("g")).distinct()
-    belongs = mine.select("i", "n", "cells").join(groups.select(F.col("node").alias("i"), "component"), "i", "left").select("i", "n", "cells", F.coalesce("component", "i").alias("g"))
-    belongs = common.stored(belongs.join(held, "g", "left_semi"), "groups")
-    unions = belongs.select("g", "cells").mapInArrow(_union, "g long, cells binary").repartition("g").sortWithinPartitions("g").mapInArrow(_merge_unions, "g long, cells binary")
-    spread = belongs.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    unions = common.stored(unions.join(spread, "g"), "unions")
-    query = mine.select("i", F.col("n").alias("na"), F.col("cells").alias("ca"))
-    asked = opened.join(unions.withColumnRenamed("g", "h"), "h").join(query, "i")
-    asked = asked.where((F.col("most") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("least") * percent))
-    # the smallest member that could link decides what the bound must reach
-    need = F.greatest("least", F.ceil(F.col("na") * percent / 100)).cast("long")
-    qualified = asked.select(F.col("i").alias("a"), F.col("h").alias("b"), "na", need.alias("nb"), "ca", F.col("cells").alias("cb")).mapInArrow(_bounded(percent), "a long, b long, na long, nb long")
+    lookups = common.stored(left.join(matrix, "token").where((F.col("g") != F.col("h")) & (F.col("x") | F.col("gx")) & enough).select("c", "h").distinct(), "lookups")
+    opened = opened_groups(lookups, mine, member, percent)
     # members of an open group that share a token with the query, early enough in both
-    asking = qualified.select("a", F.col("b").alias("h")).join(left.select(F.col("i").alias("a"), "token", "x", "n", "rest"), "a")
-    member = left.select("token", F.col("g").alias("h"), F.col("i").alias("b"), F.col("x").alias("gx"), F.col("n").alias("gn"), F.col("rest").alias("grest"))
-    inside = asking.join(member, ["token", "h"]).where((F.col("x") | F.col("gx")) & enough).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = job.linked(job.probable(inside))
+    asking = opened.join(left.select("c", "token", "x", "n", "rest"), "c")
+    inside = left.select("token", F.col("g").alias("h"), F.col("c").alias("d"), F.col("x").alias("gx"), F.col("n").alias("gn"), F.col("rest").alias("grest"))
+    close = asking.join(inside, ["token", "h"]).where((F.col("x") | F.col("gx")) & enough).select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).distinct()
+    more = job.reaching(close)
     components = groups
     if more.limit(1).count():
-        components = common.connected(links.union(more))
-
-    found = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("i", F.coalesce("component", "rep").alias("component_id"))
-    found = found.groupBy("i").agg(F.min("component_id").alias("c"))
-    out = described.select("i", "n").join(found, "i", "left")
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "i").alias("component_id"))
-
-
-def _merge_unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per group from rows in order of the group; a group may run over several batches."""
-    group, most = None, None
-    for b in batches:
-        for g, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            row = np.frombuffer(c, np.uint8)
-            if g == group:
-                most = np.maximum(most, row)
-                continue
-            if group is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([most.tobytes()], pa.binary())], ["g", "cells"])
-            group, most = g, row
-    if group is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([most.tobytes()], pa.binary())], ["g", "cells"])
+        components = common.connected(nodes.union(more.select("a.i", "b.i")))
+
+    resolved = heads.select(F.col("i").alias("li"), F.col("k").alias("lk"), F.col("c.i").alias("node")).join(components, "node", "left").select("li", "lk", F.coalesce("component", "node").alias("g"))
+    out = described.select("i", "n", "li", "lk").join(resolved, ["li", "lk"], "left")
+    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.least("g", "i"), "i").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

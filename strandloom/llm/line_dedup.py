@@ -76,10 +76,11 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     one line; a null text has none and stays null. Null ids come first in the
     order. Rows that agree in id and text count as one document, so they are
     kept or cut alike. An empty table gives an empty result; other columns go
-    through as they are, but n_lines and n_removed must not be among them.
+    through as they are; a table that has n_lines or n_removed already is refused.
     """
+    common.without_clash(docs, "n_lines", "n_removed")
     common.prepare(docs.sparkSession)
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"), common.carried(docs, id_col, text_col))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"), common.carried(docs, id_col, text_col))
     source = source.select("i", F.xxhash64("i", "t").alias("k"), "t", "rest")
     found = common.stored(source.select("i", "k", "t").mapInArrow(_windows(window), "h1 long, h2 long, i long, k long, p int"), "windows")
     place = F.struct("i", "k", "p")

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 MARK = "▁"
-#: Parts of inputs, and pairs of pieces, that a worker remembers.
-REMEMBERED = 600_000
+#: Shares of a worker's memory for the pairs of pieces and for the parts of inputs; a pair takes about 100 bytes.
+PAIRS, PARTS, PAIR_BYTES = 3 / 8, 5 / 8, 100
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 INF = float("inf")
 #: Last pieces that are none: before the first piece, and characters outside the vocabulary.
@@ -104,9 +104,8 @@ class Transducer:
             for c in text:
                 state = state.setdefault(c, {})
             state[""] = number
-        self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pairs = common.Memory(int(common.MEMORY_BYTES * PAIRS))
+        self.known = common.Memory(int(common.MEMORY_BYTES * PARTS))
 
     def _piece(self, spec: dict) -> None:
         text, kind, number = spec[1].decode(), spec.get(3, 1), len(self.out)
@@ -147,10 +146,11 @@ class Transducer:
 
     def follows(self, p: int, q: int) -> bool:
         """Whether the pair automaton has an arc from p to q."""
-        if len(self.pairs) >= REMEMBERED:
-            self.pairs.clear()
-        x, y = (self.texts[i] if i < UNKNOWN else chr(i - UNKNOWN) for i in (p, q))
-        known = self.pairs[p << 32 | q] = self.merge(x + y) == ([x, y] if x else [y])
+        known = self.pairs.old.get(p << 32 | q)
+        if known is None:
+            x, y = (self.texts[i] if i < UNKNOWN else chr(i - UNKNOWN) for i in (p, q))
+            known = self.merge(x + y) == ([x, y] if x else [y])
+        self.pairs.put(p << 32 | q, known, PAIR_BYTES)
         return known
 
     def shortest(self, text: str) -> tuple[int, ...]:
@@ -161,7 +161,7 @@ class Transducer:
         states can have a finite cost, a position keeps its cost, last piece and
         the position before it.
         """
-        n, pairs, start = len(text), self.pairs, self.start
+        n, pairs, start = len(text), self.pairs.young, self.start
         cost, last, back = [INF] * (n + 1), [BEGIN] * (n + 1), [0] * (n + 1)
         cost[0] = 0
         for i in range(n):
@@ -205,13 +205,13 @@ class Transducer:
         out: list[int] = []
         known = self.known
         for w in parts:
-            v = known.get(marked + w)
+            v = known.young.get(marked + w)
             out += self.part(marked + w) if v is None else v
         return out
 
     def part(self, text: str) -> tuple[int, ...]:
         """ids of a part that is not among the young ones; it is cut again where no arc spans a boundary."""
-        v = self.older.get(text)
+        v = self.known.old.get(text)
         if v is None:
             cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.inside]
             if not cuts:
@@ -220,14 +220,11 @@ class Transducer:
                 out: list[int] = []
                 for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True):
                     w = text[i:j]
-                    x = self.known.get(w)
+                    x = self.known.young.get(w)
                     out += self.part(w) if x is None else x
                 v = tuple(out)
         if len(text) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.older = dict(self.known)
-                self.known.clear()
-            self.known[text] = v
+            self.known.put(text, v, common.text_bytes(text) + 8 * len(v))
         return v
 
     def decode(self, ids: list[int]) -> str:
@@ -237,13 +234,8 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_machines: dict[str, Transducer] = {}
-
-
 def machine(path: str) -> Transducer:
-    if path not in _machines:
-        _machines[path] = Transducer(path)
-    return _machines[path]
+    return common.worker_keeps(("pieces", path), lambda: Transducer(path))
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +253,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
             yield pa.RecordBatch.from_arrays([b.column(0), common.lists(np.concatenate([*coded, np.zeros(0, np.int32)]), offsets, pa.int32())], ["i", "ids"])
 
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     return source.mapInArrow(run, "i long, ids array<int>").withColumnRenamed("i", id_col)
 
 
@@ -274,7 +266,7 @@ def decode_pieces(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else m.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["i", "text"])
 
-    source = coded.select(coded[f"`{id_col}`"].cast("long").alias("i"), coded[f"`{ids_col}`"].alias("x"))
+    source = coded.select(common.ids(coded, id_col).alias("i"), coded[f"`{ids_col}`"].alias("x"))
     return source.mapInArrow(run, "i long, text string").withColumnRenamed("i", id_col)
 
 
@@ -297,5 +289,5 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
             same = [y == (t.replace(MARK, " ") if not m.squeeze else re.sub(" +", " ", t).strip(" ")) for y, t in zip(back, given, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.string()), pa.array(coded, pa.list_(pa.int32()))], ["i", "n_pieces", "ids_crc32", "round_trip", "text", "ids"])
 
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     return source.mapInArrow(run, "i long, n_pieces long, ids_crc32 long, round_trip boolean, text string, ids array<int>").withColumnRenamed("i", id_col)

@@ -289,7 +289,7 @@ def find_personal_data(docs: DataFrame, model: Model, cut: float = 0.5, id_col:
                 every.append([f"{k}:{s}:{e}" for k, s, e in more])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(pa.string())), pa.array(every, pa.list_(pa.string()))], ["i", "base", "spans"])
 
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     return source.mapInArrow(run, "i long, base array<string>, spans array<string>").withColumnRenamed("i", id_col)
 
 

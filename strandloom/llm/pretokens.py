@@ -15,13 +15,13 @@ import re
 
 import numpy as np
 
+from . import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _ODD = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Entries of a worker's memory of chunks, in each of two generations.
-REMEMBERED = 700_000
 #: Chunks that one call of the library encodes.
 AT_ONCE = 2_000
 
@@ -33,25 +33,29 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
-class Encoder:
-    """ids of chunks, with a bounded memory; value() makes what is kept of the ids."""
+def library(path: str):
+    """The tokenizers library's tokenizer of a file, if texts may be cut as here."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    if not splits_by_bytes(tokenizer):
+        raise ValueError(f"{path} is no byte-level BPE with the usual word pattern")
+    return tokenizer
+
 
-    def __init__(self, path: str, value) -> None:
-        from tokenizers import Tokenizer
+class Encoder:
+    """ids of chunks as little-endian unsigned 32-bit integers, with a bounded memory."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        if not splits_by_bytes(self.tokenizer):
-            raise ValueError(f"{path} is no byte-level BPE with the usual word pattern")
-        self.value = value
+    def __init__(self, path: str) -> None:
+        self.tokenizer = library(path)
         self.marks = dict(zip(".,", self.whole([".", ","]), strict=True))
         self.special = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized), None)
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+        self.known = common.Memory(common.MEMORY_BYTES)
 
-    def whole(self, texts: list[str]) -> list:
-        return [self.value(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def many(self, texts: list[str]) -> list:
+    def many(self, texts: list[str]) -> list[bytes]:
         """The same for many short texts, joined by a special token so that one call does for all.
 
         A special token splits a text before anything else happens, so what
@@ -67,37 +71,37 @@ class Encoder:
             if joined.count(mark) != len(part) - 1:  # a text holds the mark itself
                 out += self.whole(part)
                 continue
-            ids = self.tokenizer.encode(joined, add_special_tokens=False).ids
-            at, start = np.flatnonzero(np.array(ids) == number).tolist(), 0
-            for end in [*at, len(ids)]:
-                out.append(self.value(ids[start:end]))
-                start = end + 1
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+            at, data, start = (np.flatnonzero(ids == number) * 4).tolist(), ids.tobytes(), 0
+            for end in [*at, len(data)]:
+                out.append(data[start:end])
+                start = end + 4
         return out
 
-    def learn(self, chunks: set[str]) -> dict[str, object]:
-        """The memory, holding all of these chunks (given without their space)."""
-        missing = chunks - self.young.keys()
-        if len(self.young) + len(missing) > REMEMBERED:
-            self.old, self.young = self.young, {}
-            missing = chunks
-        young, old = self.young, self.old
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Values of all of these chunks (given without their space)."""
+        known, young, old = self.known, self.known.young, self.known.old
+        found = {c: young[c] for c in chunks & young.keys()}
         fresh, ended = [], []
-        for c in missing:
+        for c in chunks - found.keys():
             if (v := old.get(c)) is not None:
-                young[c] = v
+                found[c] = v
+                known.put(c, v, common.text_bytes(c) + len(v))
             elif c[-1:] in self.marks and c[:-1].isalpha():
                 ended.append(c)  # letters, then a mark: two pre-tokens
             else:
                 fresh.append(c)
-        stems = {c[:-1] for c in ended} - young.keys()
-        for c in stems:
-            if (v := old.get(c)) is not None:
-                young[c] = v
-        fresh += [c for c in stems if c not in young and c not in missing]
-        young.update(zip(fresh, self.many([" " + c for c in fresh]), strict=True))
+        stems = {c[:-1] for c in ended} - found.keys()
+        fresh += stems - chunks
+        made = dict(zip(fresh, self.many([" " + c for c in fresh]), strict=True))
         for c in ended:
-            young[c] = young[c[:-1]] + self.marks[c[-1]]
-        return young
+            stem = c[:-1]
+            made[c] = (made[stem] if stem in made else found[stem]) + self.marks[c[-1]]
+        for c, v in made.items():
+            if len(c) <= 64:
+                known.put(c, v, common.text_bytes(c) + len(v))
+        found.update(made)
+        return found
 
 
 def splits_by_bytes(tokenizer) -> bool:
@@ -109,11 +113,6 @@ def splits_by_bytes(tokenizer) -> bool:
     return spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and plain
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, kind: str, value) -> Encoder:
-    """One encoder per Python worker, file and kind of value; workers outlive tasks."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, value)
-    return _encoders[path, kind]
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker and file; workers outlive tasks."""
+    return common.worker_keeps(("tokens", path), lambda: Encoder(path))

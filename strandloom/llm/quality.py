@@ -17,8 +17,6 @@ from .words import BASE
 
 #: At most so many labelled documents train the model; the rest of the labels are not read further.
 TRAIN_ROWS = 4000
-#: Word forms whose sums a worker keeps, in each of two generations.
-REMEMBERED = 200_000
 
 
 @dataclass
@@ -90,29 +88,30 @@ def bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Scorer:
-    """Scores texts by a trained model; keeps the parts of words, in two bounded generations."""
+    """Scores texts by a trained model; remembers words' logits within the worker's bound."""
 
     def __init__(self, s: Settings, per_bucket: np.ndarray, bias: float) -> None:
         self.s, self.per_bucket, self.bias = s, per_bucket, bias
-        self.young: dict[str, float] = {}
-        self.old: dict[str, float] = {}
+        self.known = common.Memory(common.MEMORY_BYTES)
 
     def learn(self, words: set[str]) -> dict[str, float]:
-        missing = words - self.young.keys()
-        if len(self.young) + len(missing) > REMEMBERED:
-            self.old, self.young = self.young, {}
-            missing = words
-        fresh = []
+        """Logits of these words."""
+        young, old = self.known.young, self.known.old
+        found = {w: young[w] for w in words & young.keys()}
+        missing, fresh = words - found.keys(), []
         for w in missing:
-            if (v := self.old.get(w)) is None:
+            if (v := old.get(w)) is None:
                 fresh.append(w)
             else:
-                self.young[w] = v
+                found[w] = v
         for i in range(0, len(fresh), 50_000):
             part = fresh[i : i + 50_000]
             ids, ptr = parts(part, self.s)
-            self.young.update(zip(part, (np.add.reduceat(self.per_bucket[ids], ptr[:-1]) / np.diff(ptr)).tolist(), strict=True))
-        return self.young
+            found.update(zip(part, (np.add.reduceat(self.per_bucket[ids], ptr[:-1]) / np.diff(ptr)).tolist(), strict=True))
+        for w in missing:
+            if len(w) <= 64:
+                self.known.put(w, found[w], common.text_bytes(w) + 24)
+        return found
 
     def scores(self, texts: list[str]) -> np.ndarray:
         counts = [tokens(t) for t in texts]
@@ -166,17 +165,6 @@ def _featurise(s: Settings):
     return run
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, shared) -> Scorer:
-    """One scorer per Python worker and model, so that its memory of words outlives a task."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*shared.value)
-    return _scorers[key]
-
-
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
@@ -191,10 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, tr
     """
     s = settings or Settings()
     common.prepare(docs.sparkSession)
-    marks = labels.select(labels[f"`{id_col}`"].cast("long").alias("i"), labels[f"`{label_col}`"].cast("int").alias("y")).dropna()
+    marks = labels.select(common.ids(labels, id_col).alias("i"), labels[f"`{label_col}`"].cast("int").alias("y")).dropna()
     marks = marks.where(~held_out("i")).groupBy("i").agg(F.min("y").alias("y"))
     chosen = marks.orderBy(F.xxhash64(F.lit(17), "i"), "i").limit(train_rows)
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     # bounded by train_rows, whatever the size of the tables
     rows = source.join(F.broadcast(chosen), "i").select("i", "t", "y").mapInArrow(_featurise(s), "i long, y int, ids binary, shares binary").toArrow()
     rows = rows.sort_by([("i", "ascending"), ("ids", "ascending")])
@@ -207,19 +195,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], settings: Settings |
 
     An empty or null text gets the score of the bias alone. Rows are scored one by one,
     so repeated rows get equal scores; an empty table gives no rows. Other columns go
-    through as they are; score and predicted must not be among them.
+    through as they are; a table that has score or predicted already is refused.
     """
+    common.without_clash(docs, "score", "predicted")
     s = settings or Settings()
     spark = common.prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast((s, *model))
     key = xxhash.xxh3_64_hexdigest(model[0].tobytes()) + str(model[1]) + str(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(key, shared)
+        scorer = common.worker_keeps(("quality", key), lambda: Scorer(*shared.value))
         for b in batches:
             got = scorer.scores(common.texts(b, "t"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got), pa.array((got >= cut).astype(np.int32))], ["i", "t", "rest", "score", "predicted"])
 
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"), common.carried(docs, id_col, text_col))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"), common.carried(docs, id_col, text_col))
     out = source.mapInArrow(run, f"i long, t string, rest {common.sql_type(source, 'rest')}, score double, predicted int")
     return common.restored(out, docs, id_col, text_col, "score", "predicted")

@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = GRAM, id_col: s
     with grouped sums, so no group is ever held whole beyond MOST_CONTEXTS.
     """
     spark = common.prepare(docs.sparkSession)
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     source = source.select("i", F.xxhash64("i", "t").alias("k"), "t")
     grams = source.select("t").mapInArrow(_count_grams(span, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     grams = common.stored(grams, "grams")

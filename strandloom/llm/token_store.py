@@ -17,17 +17,13 @@ from .pretokens import cut, encoder
 SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array<int>"
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def encode(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
     """ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library."""
-    enc = encoder(path, "ids", _packed)
+    enc = encoder(path)
     chunks = [cut(t) for t in texts]
     known = enc.learn({c for x in chunks for c in x[1:]})
     first = enc.whole([x[0] for x in chunks])
-    end = b"" if end_id is None else _packed([end_id])
+    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     get = known.__getitem__
     return [b"".join([f, *map(get, x[1:]), end]) for f, x in zip(first, chunks, strict=True)]
 
@@ -59,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(offsets[:-1] + start), common.lists(values, offsets, pa.int32())], ["doc_id", "n_tokens", "part", "part_start", "ids"])
             start += int(offsets[-1])
 
-    source = docs.select(docs[f"`{id_col}`"].cast("long").alias("i"), docs[f"`{text_col}`"].alias("t"))
+    source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     ordered = source.repartitionByRange("i").sortWithinPartitions("i", F.xxhash64("t"))
     writer = ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd")
     for key, value in {

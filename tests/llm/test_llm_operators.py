@@ -199,13 +199,12 @@ def test_decontamination(spark, monkeypatch, block):
 # --- Jaccard ---
 
 
-@pytest.mark.parametrize("n, percent, most", [(3, 90, 1 << 21), (5, 80, 0), (2, 80, 1 << 21)])
-def test_jaccard(spark, monkeypatch, n, percent, most):
-    """Random texts with copies, near copies in chains, and a shared passage; also without the frequent list or broadcasts."""
-    if not most:
-        monkeypatch.setattr(jaccard, "MOST_IDS", 0)
-        monkeypatch.setattr(jaccard, "frequent_tokens", lambda source, n: np.zeros(0, np.uint64))
-        monkeypatch.setattr(jaccard, "ROUNDS", 0)
+@pytest.mark.parametrize("n, percent, small", [(3, 90, False), (5, 80, True), (2, 80, False), (2, 80, True)])
+def test_jaccard(spark, monkeypatch, n, percent, small):
+    """Random texts with copies, near copies in chains, and a shared passage; also with many blocks, ranges and pieces."""
+    if small:
+        for name, size in (("BLOCK_TOKENS", 200), ("RANGE_TOKENS", 100), ("UNION_TOKENS", 4)):
+            monkeypatch.setattr(jaccard, name, size)
     rng = random.Random(7 + n)
     passage = words(rng, 30)
     rows = [(i, words(rng, rng.randint(0, 50), 200)) for i in range(60)]
