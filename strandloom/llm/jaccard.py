@@ -44,6 +44,8 @@ CELLS = 128
 BLOCK_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 20
 #: Tokens in a piece of a group's union, on average.
 UNION_TOKENS = 4096
+#: Tasks that share the tokens of one group until its pieces are known.
+SALTS = 32
 
 
 def token_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -274,7 +276,9 @@ def opened_groups(lookups: DataFrame, classes: DataFrame, groups: DataFrame, per
     sizes = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     tokens = common.stored(members.select("g", F.explode("tokens").alias("token")).distinct(), "unions")
     sizes = tokens.groupBy("g").agg(F.ceil(F.count("*") / UNION_TOKENS).cast("long").alias("pieces")).join(sizes, "g")
-    pieces = tokens.join(sizes, "g").groupBy("g", F.pmod("token", "pieces").alias("piece")).agg(F.collect_list("token").alias("u"), F.first("pieces").alias("pieces"), F.first("least").alias("least"), F.first("most").alias("most"))
+    sizes = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = tokens.withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)))
+    pieces = salted.join(sizes, ["g", "salt"]).groupBy("g", F.pmod("token", "pieces").alias("piece")).agg(F.collect_list("token").alias("u"), F.first("pieces").alias("pieces"), F.first("least").alias("least"), F.first("most").alias("most"))
     asked = lookups.join(pieces.withColumnRenamed("g", "h"), "h").join(classes.select("c", "n", "tokens"), "c")
     asked = asked.where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
     overlap = asked.groupBy("c", "h").agg(F.sum(F.size(F.array_intersect("tokens", "u"))).alias("most_shared"), F.first("n").alias("n"), F.first("least").alias("least"))

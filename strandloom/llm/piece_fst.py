@@ -153,8 +153,8 @@ class Transducer:
         self.pairs.put(p << 32 | q, known, PAIR_BYTES)
         return known
 
-    def shortest(self, text: str) -> tuple[int, ...]:
-        """ids on the shortest path over a normalised text.
+    def shortest(self, text: str) -> bytes:
+        """ids on the shortest path over a normalised text, as little-endian 32-bit integers.
 
         Positions are in topological order, so one sweep relaxes every arc. A
         state is a position and the last piece; since only one of a position's
@@ -191,25 +191,28 @@ class Transducer:
             q = last[j]
             out.extend([q] if q < BEGIN else [self.bytes[b] for b in reversed(chr(q - UNKNOWN).encode())])
             j = back[j]
-        return tuple(reversed(out))
+        return struct.pack(f"<{len(out)}i", *reversed(out))
 
     # --- encoding and decoding ---
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """ids of a text as little-endian 32-bit integers."""
         if self.cuts and self.prefix and not self.squeeze and MARK not in text and text and text[0] != " " and text[-1] != " " and "  " not in text:
             parts = text.split(" ")  # each has one mark before it
             marked = MARK
         else:
             whole = self.normalise(text)
             parts, marked = (_PARTS.findall(whole) if self.cuts else [whole] if whole else []), ""
-        out: list[int] = []
-        known = self.known
+        known, out = self.known, []
         for w in parts:
             v = known.young.get(marked + w)
-            out += self.part(marked + w) if v is None else v
-        return out
+            out.append(self.part(marked + w) if v is None else v)
+        return b"".join(out)
 
-    def part(self, text: str) -> tuple[int, ...]:
+    def part(self, text: str) -> bytes:
         """ids of a part that is not among the young ones; it is cut again where no arc spans a boundary."""
         v = self.known.old.get(text)
         if v is None:
@@ -217,14 +220,14 @@ class Transducer:
             if not cuts:
                 v = self.shortest(text)
             else:
-                out: list[int] = []
+                out = []
                 for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True):
                     w = text[i:j]
                     x = self.known.young.get(w)
-                    out += self.part(w) if x is None else x
-                v = tuple(out)
+                    out.append(self.part(w) if x is None else x)
+                v = b"".join(out)
         if len(text) <= 64:
-            self.known.put(text, v, common.text_bytes(text) + 8 * len(v))
+            self.known.put(text, v, common.text_bytes(text) + len(v))
         return v
 
     def decode(self, ids: list[int]) -> str:
@@ -238,6 +241,10 @@ def machine(path: str) -> Transducer:
     return common.worker_keeps(("pieces", path), lambda: Transducer(path))
 
 
+def _lists(coded: list[bytes]) -> pa.Array:
+    return common.lists(np.frombuffer(b"".join(coded), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]), pa.int32())
+
+
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the pieces of every text; null and empty texts have none.
 
@@ -249,9 +256,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
         for b in batches:
-            coded = [np.array(m.encode(t), np.int32) for t in common.texts(b, "t")]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
-            yield pa.RecordBatch.from_arrays([b.column(0), common.lists(np.concatenate([*coded, np.zeros(0, np.int32)]), offsets, pa.int32())], ["i", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([m.packed(t) for t in common.texts(b, "t")])], ["i", "ids"])
 
     source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     return source.mapInArrow(run, "i long, ids array<int>").withColumnRenamed("i", id_col)
@@ -283,11 +288,11 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
         m = machine(model)
         for b in batches:
             given = common.texts(b, "t")
-            coded = [np.array(m.encode(t), np.int32) for t in given]
-            back = [m.decode(x.tolist()) for x in coded]
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in coded]
+            coded = [m.packed(t) for t in given]
+            back = [m.decode(np.frombuffer(x, "<i4").tolist()) for x in coded]
+            crc = [zlib.crc32(x) for x in coded]
             same = [y == (t.replace(MARK, " ") if not m.squeeze else re.sub(" +", " ", t).strip(" ")) for y, t in zip(back, given, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.string()), pa.array(coded, pa.list_(pa.int32()))], ["i", "n_pieces", "ids_crc32", "round_trip", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.string()), _lists(coded)], ["i", "n_pieces", "ids_crc32", "round_trip", "text", "ids"])
 
     source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))
     return source.mapInArrow(run, "i long, n_pieces long, ids_crc32 long, round_trip boolean, text string, ids array<int>").withColumnRenamed("i", id_col)
