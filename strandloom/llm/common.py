@@ -269,6 +269,12 @@ def blocks(batches: Iterable[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iter
         yield _joined(held)
 
 
+def small(batches: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many bytes, down to single rows."""
+    for b in batches:
+        yield from _halves(b, most_bytes)
+
+
 def _halves(b: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
     if b.num_rows > 1 and b.nbytes > most_bytes:
         half = b.num_rows // 2
