@@ -1,4 +1,9 @@
-"""Quality classifier: averaged hashed word and character n-gram vectors, softmax, numpy SGD."""
+"""Quality classifier: averaged hashed word and character n-gram vectors, softmax, numpy SGD.
+
+A text's features are its words, their character n-grams, and one word bigram: a word that
+repeats the one before it is the bigram "same", whatever the word. Each has a bucket with a
+learned vector; a text is the average of its features' vectors.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +31,7 @@ class Settings:
     least: int = 2
     most: int = 3
     epochs: int = 4
-    rate: float = 1.5
+    rate: float = 0.2
     seed: int = 1
 
 
@@ -56,12 +61,12 @@ def parts(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokens(text: str) -> Counter:
-    """Words of a text; a word equal to the one before it also counts as a mark of repetition."""
+    """Words of a text and the bigrams of a word and itself, which have one name for all words."""
     words = text.split()
     found = Counter(words)
-    again = sum(map(str.__eq__, words, words[1:]))
-    if again:
-        found["\x00again"] = again * 4
+    same = sum(map(str.__eq__, words, words[1:]))
+    if same:
+        found["\x00same"] = same
     return found
 
 
@@ -126,7 +131,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
     A document's vector is the average of its buckets' vectors, both classes
     have an output vector, and the softmax of two classes is the logistic of
     their difference; so a bucket's vector times that difference is all that
-    scoring needs.
+    scoring needs. A step goes along the gradient of the loss, whose part for a bucket is
+    its share times the gradient at the average; every bucket's rate is divided by the
+    root of its squared gradients so far (AdaGrad), as shares are tiny and unequal.
     """
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (1 << s.bits, s.dim)).astype(np.float32)
@@ -134,6 +141,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
     prior = np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99)
     bias = np.log(np.array([1 - prior, prior]))
     out += rng.normal(0, 0.1, out.shape).astype(np.float32)
+    squares = np.full(1 << s.bits, 1e-8)
     total, done = max(1, s.epochs * len(examples)), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(examples)):
@@ -151,8 +159,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s:
             back = p @ out
             out -= (rate * np.outer(p, mean)).astype(np.float32)
             bias -= rate * 0.1 * p
-            # one step per bucket, scaled as the sum over its occurrences would be, as an averaged bag has tiny shares
-            vectors[ids] = rows - (rate * np.sqrt(share)[:, None] * back[None, :]).astype(np.float32)
+            squares[ids] += share**2 * (back @ back) / s.dim
+            vectors[ids] = rows - ((rate * share / np.sqrt(squares[ids]))[:, None] * back[None, :]).astype(np.float32)
     return (vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0])
 
 

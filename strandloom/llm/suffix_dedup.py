@@ -38,6 +38,10 @@ MOST_GRAMS = 1 << 22
 #: A k-gram with more different contexts than this is counted window by window instead of in one group.
 MOST_CONTEXTS = 100_000
 BLOCK = 3 << 20
+#: Bytes of suffixes and what stands before them in a range of the order, on average.
+RANGE_BYTES = 16 << 20
+#: Suffixes that come to the driver to divide the order, at most.
+MOST_SAMPLES = 1 << 18
 _INVERSE = pow(BASE, -1, 2**64)
 
 
@@ -125,7 +129,8 @@ def _contexts(span: int, k: int, shared):
                 texts.append(None if d in seen else text)
                 seen.add(d)
             z = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(z[:, 0]), pa.array(z[:, 1]), pa.array(left.astype(np.int32)), pa.array(texts, pa.binary())], ["i", "k", "p", "gram", "z1", "z2", "nl", "text"])
+            size = np.where([t is None for t in texts], 0, left + right).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array((at - offsets[row]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(z[:, 0]), pa.array(z[:, 1]), pa.array(left.astype(np.int32)), pa.array(texts, pa.binary()), pa.array(size)], ["i", "k", "p", "gram", "z1", "z2", "nl", "text", "size"])
 
     return run
 
@@ -341,7 +346,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = GRAM, id_col: s
     source = source.select("i", F.xxhash64("i", "t").alias("k"), "t")
     grams = source.select("t").mapInArrow(_count_grams(span, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     grams = common.stored(grams, "grams")
-    shape = "i long, k long, p int, gram long, z1 long, z2 long, nl int, text binary"
+    shape = "i long, k long, p int, gram long, z1 long, z2 long, nl int, text binary, size int"
     if grams.count() <= MOST_GRAMS:
         shared = spark.sparkContext.broadcast(np.sort(grams.toArrow()["gram"].to_numpy().view(np.uint64)))
         found = source.mapInArrow(_contexts(span, gram, shared), shape)
@@ -355,11 +360,13 @@ def remove_repeats(docs: DataFrame, span: int = 200, gram: int = GRAM, id_col: s
     crowded = common.stored(numbers.groupBy("gram").count().where(F.col("count") > MOST_CONTEXTS).select("gram"), "crowded")
     texts = found.groupBy("z1", "z2").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("n"), F.max("gram").alias("gram"), F.max("nl").alias("nl"), F.max("text").alias("text"))
     usual = texts.join(F.broadcast(crowded) if crowded.count() <= MOST_GRAMS else crowded, "gram", "left_anti")
-    sample = [bytes(r[0]) for r in found.where("text IS NOT NULL").select(F.expr(f"substring(text, nl + 1, {gram})").alias("s"), "z1").orderBy("z1").limit(4096).collect()]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    # as many ranges as the suffixes' bytes ask for, one to a task
+    parts = 1 + (found.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES
+    wanted = min(max(4096, 32 * parts), MOST_SAMPLES)
+    sample = [bytes(r[0]) for r in found.where("size > 0").select(F.expr(f"substring(text, nl + 1, {gram})").alias("s"), "z1").orderBy("z1").limit(wanted).collect()]
     splitters = sorted(set(np.array(sorted(sample), object)[np.linspace(0, len(sample), parts + 1)[1:-1].astype(int)].tolist())) if sample else []
     runs = usual.select(*columns).mapInArrow(_make_runs(splitters, gram), "part int, run binary")
-    marks = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge_runs(span, gram), "z1 long, z2 long, low int, high int")
+    marks = runs.repartitionById(parts, "part").mapInArrow(_merge_runs(span, gram), "z1 long, z2 long, low int, high int")
     windows = texts.join(crowded, "gram", "left_semi").select(*columns).mapInArrow(_explode_windows(span, gram), "z1 long, z2 long, n int, o int, w1 long, w2 long")
     again = windows.select("z1", "z2", "n", "w1", "w2").distinct().groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
     slow = windows.join(again, ["w1", "w2"], "left_semi").select("z1", "z2", F.col("o").alias("low"), F.col("o").alias("high"))
