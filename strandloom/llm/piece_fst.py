@@ -226,7 +226,7 @@ class Transducer:
                     x = self.known.young.get(w)
                     out.append(self.part(w) if x is None else x)
                 v = b"".join(out)
-        if len(text) <= 64:
+        if len(text) <= 64 and self.known.again(text):
             self.known.put(text, v, common.text_bytes(text) + len(v))
         return v
 
