@@ -84,7 +84,12 @@ class Genome:
 
     # --- names ---
 
-    def set_names(self, names: Sequence[str]) -> Genome:
+    def set_names(self, names: Sequence[str] | DataFrame) -> Genome:
+        """New names in order, or a table (chrom_id, name) with one row for every chromosome."""
+        if isinstance(names, DataFrame):
+            joined = self.chroms.drop("name").join(names.select("chrom_id", "name"), "chrom_id", "left")
+            missing = F.raise_error(F.concat(F.lit("no name for chromosome "), F.col("chrom_id").cast("string")))
+            return Genome(joined.withColumn("name", F.coalesce("name", missing.cast("string"))).select(*COLUMNS), self.name)
         spark = self.chroms.sparkSession
         if len(names) != self.n_chroms():
             raise ValueError("there must be one name per chromosome")
@@ -107,15 +112,36 @@ class Genome:
             raise ValueError("share must be between 0 and 1")
         return Genome(by_size(filter_share(self.chroms, share)), self.name)
 
-    def remove(self, names: Sequence[str]) -> Genome:
+    def remove(self, names: Sequence[str] | DataFrame) -> Genome:
+        """Without the named chromosomes; names may be a table with a column of that name, of any size."""
+        if isinstance(names, DataFrame):
+            gone = names.select("name").distinct()
+            if unknown := gone.join(self.chroms.select("name"), "name", "left_anti").first():
+                raise ValueError(f"no chromosome is named {unknown['name']}")
+            return Genome(self.chroms.join(gone, "name", "left_anti").select(*COLUMNS), self.name)
         self._known(distinct("names", names))
         return Genome(self.chroms.where(~F.col("name").isin(list(names))), self.name)
 
-    def add(self, sequences: Sequence[str], names: Sequence[str] | None = None) -> Genome:
-        """More chromosomes at the end; without names they are numbered on from the largest number in use."""
+    def next_number(self) -> DataFrame:
+        """One row: the number after the largest that ends a name, or else the number of chromosomes; and the last id."""
+        top = F.max(F.expr("try_cast(regexp_extract(name, '([0-9]+)$', 1) AS bigint)"))
+        return self.chroms.agg(F.coalesce(top + 1, F.count("*")).alias("next_number"), F.max("chrom_id").alias("last"))
+
+    def add(self, sequences: Sequence[str] | DataFrame, names: Sequence[str] | None = None) -> Genome:
+        """More chromosomes at the end; without names they are numbered on from the largest number in use.
+
+        A table (at, name, seq) adds chromosomes of any number, in the order of at, which
+        counts from 0.
+        """
+        if isinstance(sequences, DataFrame):
+            if sequences.join(self.chroms.select("name"), "name", "left_semi").limit(1).count():
+                raise ValueError("a new name is in use")
+            last = self.next_number().select(F.coalesce("last", F.lit(-1)).alias("last"))
+            more = sequences.join(F.broadcast(last)).select((F.col("last") + 1 + F.col("at")).alias("chrom_id"), "name", "seq")
+            return Genome(self.chroms.unionByName(more), self.name)
         spark = self.chroms.sparkSession
-        row = self.chroms.agg(F.max("chrom_id").alias("last"), F.max(F.expr("try_cast(regexp_extract(name, '([0-9]+)$', 1) AS bigint)")).alias("top"), F.count("*").alias("n")).first()
-        first = (row["top"] + 1) if row["top"] is not None else row["n"]
+        row = self.next_number().first()
+        first = row["next_number"]
         names = [f"chrom{first + i}" for i in range(len(sequences))] if names is None else distinct("names", names)
         if len(names) != len(sequences):
             raise ValueError("names and sequences must be equally many")

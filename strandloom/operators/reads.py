@@ -16,7 +16,10 @@ from ..plans.checks import number, whole
 from ..plans.models import lower_gamma
 from ..sources.profiles import Profile, falling
 
-READ = "hap string, chrom string, start long, strand string, mate int, seq string, qual string"
+#: chunk and n number the reads of a sequence; both mates of a pair have the same.
+READ = "hap string, chrom string, start long, strand string, mate int, seq string, qual string, chunk long, n long"
+#: Bases that an insertion, a deletion, a substitution and no error write.
+_WRITTEN = np.array([2, 0, 1, 1])
 #: Reads that one task makes in one go for one sequence.
 CHUNK = 20_000
 _COMPLEMENT = bytes.maketrans(b"TCAG", b"AGTC")
@@ -194,7 +197,7 @@ def illumina(sequences: DataFrame, n_reads: int, settings: Illumina | None = Non
             start = int(g.random() * (len(seq) - size + 1))
             fragment = seq[start : start + size]
             while True:
-                out += template(hap, chrom, fragment, start, bar, g)
+                out += [(*row, chunk, made) for row in template(hap, chrom, fragment, start, bar, g)]
                 made += 1
                 if made >= n or g.random() >= s.prob_dup:
                     break
@@ -276,56 +279,68 @@ def pacbio(sequences: DataFrame, n_reads: int, settings: PacBio | None = None, w
         e = max(0.6, normal.inv_cdf(u) * sg + base)
         return tuple(p**e for p in probs)
 
-    def one(seq: str, start: int, n: int, split: int, left, right, g) -> tuple[str, str] | None:
-        out, quals = bytearray(), bytearray()
-        room = len(seq) - start - n  # spare bases for deletions
-        at, u, other = start, g.random(2 * n + 50), g.integers(0, 4, 2 * n + 50)
-        marks = [33 + min(93, round(-10 * math.log10(max(sum(x), 1e-12)))) for x in (left, right)]
-        i = 0
-        while len(out) < n and at < len(seq):
-            side = 0 if len(out) < split else 1
-            pi, pd, ps = (left, right)[side]
-            if i >= len(u):
-                u, other, i = g.random(n + 50), g.integers(0, 4, n + 50), 0
-            x, k = u[i], other[i]
-            i += 1
-            b = ord(seq[at])
-            if x > pi + pd + ps:
-                out.append(b)
-            elif x < pi:
-                out.append(b)
-                if len(out) < n:
-                    out.append(_BASES[k])
-                    quals.append(marks[side])
-            elif x < pi + pd:
-                if room > 0:
-                    room -= 1
-                    at += 1
-                    continue
-                out.append(b)
-            else:
-                c = _CODE[b]
-                out.append(_BASES[(c + 1 + k % 3) % 4] if c < 4 else b)
-            quals.append(marks[side])
-            at += 1
-        return (out.decode(), quals.decode()) if out else None
+    def drawn(n: int, p: tuple[float, float, float], g) -> np.ndarray:
+        """Events (0 insertion, 1 deletion, 2 substitution, 3 none) that write at least n bases."""
+        kinds, written = np.zeros(0, np.int64), 0
+        while written < n:
+            more = np.searchsorted(np.cumsum(p), g.random(n - written + 20), "right")
+            kinds = np.concatenate([kinds, more])
+            written = int(_WRITTEN[kinds].sum())
+        return kinds[: int(np.searchsorted(np.cumsum(_WRITTEN[kinds]), n)) + 1]
+
+    def events(n: int, spare: int, split: int, left, right, g) -> np.ndarray:
+        """Events of a read of n bases. A deletion needs a spare base beyond the read's, and every insertion gives one."""
+        kinds = drawn(split, left, g) if split else np.zeros(0, np.int64)
+        rest = n - int(_WRITTEN[kinds].sum())
+        if rest > 0:
+            kinds = np.concatenate([kinds, drawn(rest, right, g)])
+        if _WRITTEN[kinds].sum() > n:  # an insertion that would be one base too many
+            kinds[-1] = 3
+        room = spare + np.cumsum((kinds == 0).astype(np.int64) - (kinds == 1))
+        if len(room) and room.min() < 0:
+            kept, left_over = [], spare
+            for k in kinds.tolist():
+                left_over += (k == 0) - (k == 1)
+                if left_over < 0:
+                    left_over = 0
+                else:
+                    kept.append(k)
+            kinds = np.array(kept, np.int64)
+        return kinds
+
+    def written(source: np.ndarray, kinds: np.ndarray, g) -> str:
+        """The source's bases with the events on them."""
+        bases, code = source.copy(), _CODE[source]
+        at = np.flatnonzero((kinds == 2) & (code < 4))
+        bases[at] = _BASES[(code[at] + 1 + g.integers(0, 3, len(at))) % 4]
+        times = _WRITTEN[kinds]
+        out = np.repeat(bases, times)
+        inserted = np.cumsum(times)[kinds == 0] - 1
+        out[inserted] = _BASES[g.integers(0, 4, len(inserted))]
+        return out.tobytes().decode()
 
     def make(hap: str, chrom: str, seq: str, n: int, chunk: int) -> list[tuple]:
         g = rng.generator(seed, "pacbio", hap, chrom, chunk)
         out: list[tuple] = []
+        raw = np.frombuffer(seq.encode(), np.uint8)
         while len(out) < n:
-            size = length(len(seq), g)
-            start = int(g.random() * (len(seq) - size + 1))
+            size, u = length(len(raw), g), g.random()
             while True:
                 k = passes(size, g)
                 w, f = int(k), k - int(k)
                 a, b = (w + 1, w) if w % 2 == 0 else (w, w + 1)
                 split = round((f if w % 2 == 0 else 1 - f) * size)
-                forward = g.random() < 0.5
-                source, at = (seq, start) if forward else (seq.encode().translate(_COMPLEMENT)[::-1].decode(), len(seq) - start - size)
-                made = one(source, at, size, split, chances(a, g), chances(b, g), g)
-                if made:
-                    out.append((hap, chrom, start, "F" if forward else "R", 1, *made))
+                left, right = chances(a, g), chances(b, g)
+                # errors come first: they decide how many bases of the chromosome the read takes, and so where it may start
+                kinds = events(size, len(raw) - size, split, left, right, g)
+                start = int(u * (len(raw) - len(kinds) + 1))
+                source, forward = raw[start : start + len(kinds)], g.random() < 0.5
+                if not forward:
+                    source = np.frombuffer(source.tobytes().translate(_COMPLEMENT), np.uint8)[::-1]
+                made = written(source, kinds, g)
+                marks = [chr(33 + min(93, round(-10 * math.log10(max(sum(x), 1e-12))))) for x in (left, right)]
+                split = min(split, len(made))
+                out.append((hap, chrom, start, "F" if forward else "R", 1, made, marks[0] * split + marks[1] * (len(made) - split), chunk, len(out)))
                 if len(out) >= n or g.random() >= s.prob_dup:
                     break
         return out
@@ -334,6 +349,6 @@ def pacbio(sequences: DataFrame, n_reads: int, settings: PacBio | None = None, w
 
 
 def records(reads: DataFrame, paired: bool = False) -> DataFrame:
-    """The four lines of each read as one string, with its haplotype and mate."""
+    """The four lines of each read as one string, with its haplotype, mate and number."""
     head = dna.fastq_id("hap", dna.clean_name("chrom"), "start", "strand", "mate" if paired else None)
-    return reads.select("hap", "mate", F.concat_ws("\n", head, "seq", F.lit("+"), "qual").alias("value"))
+    return reads.select("hap", "chrom", "chunk", "n", "mate", F.concat_ws("\n", head, "seq", F.lit("+"), "qual").alias("value"))

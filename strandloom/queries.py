@@ -182,17 +182,16 @@ def filter_prop(spark, sf):
 
 @query(f"WITH {GENOME} SELECT chrom_id, name, length(seq) AS size FROM ref WHERE chrom_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def rm_chroms(spark, sf):
+    g = chroms(spark, sf)
     gone = read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("chrom_id"))
-    return G.Genome(chroms(spark, sf).join(gone, "chrom_id", "left_anti")).sizes()
+    return G.Genome(g).remove(g.join(gone, "chrom_id", "left_semi").select("name")).sizes()
 
 
 @query(f"""WITH {GENOME} SELECT chrom_id, name, seq FROM ref UNION ALL
 SELECT (SELECT max(chrom_id) FROM ref) + 1 + item_id, 'item' || item_id, regexp_replace(translate(text, 'tcagn', 'TCAGN'), '[^TCAGN]', '', 'g') FROM benchmark""")
 def add_chroms(spark, sf):
-    g = chroms(spark, sf)
-    last = g.agg(F.max("chrom_id").alias("last"))
-    more = read(spark, sf, "benchmark").join(F.broadcast(last)).select((F.col("last") + 1 + F.col("item_id")).alias("chrom_id"), F.concat(F.lit("item"), "item_id").alias("name"), dna.filter_bases("text").alias("seq"))
-    return g.unionByName(more)
+    more = read(spark, sf, "benchmark").select(F.col("item_id").alias("at"), F.concat(F.lit("item"), "item_id").alias("name"), dna.filter_bases("text").alias("seq"))
+    return G.Genome(chroms(spark, sf)).add(more).chroms
 
 
 @query(f"""WITH {GENOME}, m AS (SELECT *, CASE chrom_id WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 11 THEN 3 END AS o FROM ref)
@@ -218,13 +217,14 @@ def genome_summary(spark, sf):
 @query(f"WITH {GENOME} SELECT r.chrom_id, 'part_' || p.p_name AS name FROM ref r JOIN part p ON p.p_partkey = r.chrom_id + 1")
 def set_names_join(spark, sf):
     p = read(spark, sf, "part").select((F.col("p_partkey") - 1).alias("chrom_id"), F.concat(F.lit("part_"), "p_name").alias("name"))
-    return chroms(spark, sf).select("chrom_id").join(p, "chrom_id")
+    named = chroms(spark, sf).join(p, "chrom_id", "left_semi")
+    return G.Genome(named).set_names(p).chroms.select("chrom_id", "name")
 
 
 @query(f"WITH {GENOME} SELECT max(try_cast(regexp_extract(regexp_replace(name, ':.*', ''), '([0-9]+)$', 1) AS BIGINT)) + 1 AS next_number FROM ref")
 def auto_names(spark, sf):
-    short = F.regexp_replace("name", ":.*", "")
-    return chroms(spark, sf).select(short.alias("name")).agg((F.max(F.expr("try_cast(regexp_extract(name, '([0-9]+)$', 1) AS bigint)")) + 1).alias("next_number"))
+    g = chroms(spark, sf).withColumn("name", F.regexp_replace("name", ":.*", ""))
+    return G.Genome(g).next_number().select("next_number")
 
 
 @query(f"""WITH {GENOME} SELECT chrom_id, string_agg(CASE WHEN c <> 'N' THEN c ELSE
@@ -262,9 +262,11 @@ def dup_haps(spark, sf):
 
 @query(f"WITH {MUTATIONS} SELECT hap_id, chrom_id, old_pos, ref_len, alt FROM mut WHERE hap_id NOT IN (2, 5)")
 def rm_haps(spark, sf):
-    _, m = _both(spark, sf)
-    kept = haps(spark).where(~F.col("name").isin("hap2", "hap5"))
-    return m.join(F.broadcast(kept.select("hap_id")), "hap_id", "left_semi").select("hap_id", "chrom_id", "old_pos", "ref_len", "alt")
+    from .operators.haplotypes import Haplotypes
+
+    g, m = _both(spark, sf)
+    kept = Haplotypes(G.Genome(g), haps(spark), m).remove(["hap2", "hap5"])
+    return kept.mutations.select("hap_id", "chrom_id", "old_pos", "ref_len", "alt")
 
 
 @query(f"""WITH {MUTATIONS} SELECT hap_id, chrom_id, old_pos, old_pos + coalesce(sum(length(alt) - ref_len) OVER (PARTITION BY hap_id, chrom_id ORDER BY old_pos
@@ -401,6 +403,93 @@ def pt_k80(spark, sf):
     return _numbers(spark, [(t, dna.BASES[i], dna.BASES[j], round(float(m.transition(t)[i, j]), 9)) for t in (0.1, 0.5, 1.0, 2.0) for i in range(4) for j in range(4)], "t double, from_base string, to_base string, p double")
 
 
+#: Two transition rates and one of transversions, by the frequencies of the bases; scaled to one change per unit of time.
+TN93_SQL = """WITH par AS (SELECT {t}::DOUBLE AS ft, {c}::DOUBLE AS fc, {a}::DOUBLE AS fa, {g}::DOUBLE AS fg, {a1}::DOUBLE AS a1, {a2}::DOUBLE AS a2, {b}::DOUBLE AS b),
+scaled AS (SELECT *, ft + fc AS fy, fa + fg AS fr, 2 * (ft * fc * a1 + fa * fg * a2 + (ft + fc) * (fa + fg) * b) AS mean FROM par),
+base AS (SELECT * FROM (VALUES (0, 'T'), (1, 'C'), (2, 'A'), (3, 'G')) v(i, base)),
+x AS (SELECT x.t, i.i, j.i AS j, i.base AS from_base, j.base AS to_base, [ft, fc, fa, fg][j.i + 1] AS f, CASE WHEN j.i < 2 THEN fy ELSE fr END AS own, CASE WHEN j.i < 2 THEN fr ELSE fy END AS other,
+  exp(-b / mean * x.t) AS e, exp(-((CASE WHEN j.i < 2 THEN fr * b + fy * a1 ELSE fy * b + fr * a2 END) / mean) * x.t) AS k
+  FROM scaled, base i, base j, unnest([0.1, 0.5, 1.0, 2.0]) x(t))
+SELECT t::DOUBLE AS t, from_base, to_base, round(CASE WHEN i // 2 <> j // 2 THEN f * (1 - e) WHEN i = j THEN f + f * other / own * e + (own - f) / own * k ELSE f + f * other / own * e - f / own * k END, 9) AS p FROM x"""
+
+
+def _tn93_sql(t, c, a, g, a1, a2, b):
+    return TN93_SQL.format(t=t, c=c, a=a, g=g, a1=a1, a2=a2, b=b)
+
+
+def _transitions(spark, p, digits=9):
+    """P(t) as rows; p gives the matrix of a time."""
+    return _numbers(spark, [(t, dna.BASES[i], dna.BASES[j], round(float(m[i, j]), digits)) for t in (0.1, 0.5, 1.0, 2.0) for m in [p(t)] for i in range(4) for j in range(4)], "t double, from_base string, to_base string, p double")
+
+
+PI = (0.1, 0.2, 0.3, 0.4)
+
+
+@query(_tn93_sql(*PI, 1, 1, 1))
+def pt_f81(spark, sf):
+    return _transitions(spark, models.f81(PI).transition)
+
+
+@query(_tn93_sql(*PI, 0.5, 0.5, 0.25))
+def pt_hky85(spark, sf):
+    return _transitions(spark, models.hky85(PI, 0.5, 0.25).transition)
+
+
+@query(_tn93_sql(*PI, "(1 + 0.7 / 0.3) * 0.25", "(1 + 0.7 / 0.7) * 0.25", 0.25))
+def pt_f84(spark, sf):
+    return _transitions(spark, models.f84(PI, 0.25, 0.7).transition)
+
+
+@query(_tn93_sql(*PI, 0.5, 0.8, 0.25))
+def pt_tn93(spark, sf):
+    return _transitions(spark, models.tn93(PI, 0.5, 0.8, 0.25).transition)
+
+
+@query(_tn93_sql(*PI, 0.6, 0.9, 0.3))
+def pt_gtr(spark, sf):
+    """A general reversible model whose transversions have one rate, which has a closed form."""
+    return _transitions(spark, models.gtr(PI, [0.6, 0.3, 0.3, 0.3, 0.3, 0.9]).transition)
+
+
+@query(_tn93_sql(*PI, 1, 1, 1))
+def pt_unrest(spark, sf):
+    """Unrestricted rates that are in truth the frequencies of the target, so that their equilibrium must be found."""
+    return _transitions(spark, models.unrest([[0 if i == j else PI[j] for j in range(4)] for i in range(4)]).transition)
+
+
+@query(_tn93_sql(*PI, 0.5, 0.8, 0.25).replace(", 9)", ", 6)"))
+def pt_squaring(spark, sf):
+    """P(t) by repeated squaring, as where the rates have no real eigenvalues; thirty squarings leave some seven digits."""
+    m = models.tn93(PI, 0.5, 0.8, 0.25)
+    return _transitions(spark, lambda t: models.transition_by_squaring(m.q, t), 6)
+
+
+@query("""SELECT base, round(f, 9) AS frequency, round(f / (0.1 * 0.9 + 0.2 * 0.8 + 0.3 * 0.7 + 0.4 * 0.6) * (1 - f) / f, 9) AS rate
+FROM (VALUES ('T', 0.1::DOUBLE), ('C', 0.2::DOUBLE), ('A', 0.3::DOUBLE), ('G', 0.4::DOUBLE)) v(base, f)""")
+def equilibrium_rates(spark, sf):
+    """Frequencies found from unrestricted rates, and how fast each base changes."""
+    m = models.unrest([[0 if i == j else PI[j] for j in range(4)] for i in range(4)])
+    return _numbers(spark, [(dna.BASES[i], round(float(m.pi[i]), 9), round(float(m.rates_by_base()[i]), 9)) for i in range(4)], "base string, frequency double, rate double")
+
+
+@query("""WITH cut AS (SELECT i::INT AS i, CASE WHEN i = 0 THEN 1 ELSE ((1 - i / 6) * (1 - ln(1 - i / 6))) END AS low, CASE WHEN i = 5 THEN 0 ELSE (1 - (i + 1) / 6) * (1 - ln(1 - (i + 1) / 6)) END AS high FROM range(6) r(i))
+SELECT i, round(6 * (low - high), 6) AS rate FROM cut""")
+def discrete_gamma(spark, sf):
+    """Six classes of a Gamma distribution of shape 1, which is exponential."""
+    return _numbers(spark, [(i, round(float(x), 6)) for i, x in enumerate(models.discrete_gamma(1.0, 6))], "i int, rate double")
+
+
+@query("""WITH w AS (SELECT base, f, 0.1 AS r, [0.1, 0.2, 0.3, 0.4] AS pis FROM (VALUES (0, 0.1::DOUBLE), (1, 0.2::DOUBLE), (2, 0.3::DOUBLE), (3, 0.4::DOUBLE)) v(base, f)),
+m AS (SELECT 0.1 * 0.9 + 0.2 * 0.8 + 0.3 * 0.7 + 0.4 * 0.6 AS mean),
+e AS (SELECT base, j::INT AS event, CASE WHEN j < 4 THEN CASE WHEN j = base THEN 0 ELSE pis[j + 1] / mean END ELSE 0.25 * 0.1 * exp(-((j - 4) % 2 + 1)) / (exp(-1) + exp(-2)) END AS x FROM w, m, range(8) t(j))
+SELECT base::INT AS base, event, round(x / sum(x) OVER (PARTITION BY base), 9) AS weight FROM e""")
+def event_weights(spark, sf):
+    """Chances of each substitution, insertion and deletion of one or two bases, by base."""
+    indels = models.indels(0.1, 2)
+    w = models.event_weights(models.f81(PI), indels, indels)
+    return _numbers(spark, [(i, j, round(float(w[i, j]), 9)) for i in range(4) for j in range(8)], "base int, event int, weight double")
+
+
 # --- segregating sites ---
 
 
@@ -436,14 +525,6 @@ def ssites_mutations(spark, sf):
     return site_mutations(g, sites, carriers, models.jc69(1.0), None, None, SEED)
 
 
-@query("SELECT species, coalesce(theta_s, pi_s)::DOUBLE AS theta, Ne::DOUBLE AS n_e, subs::DOUBLE AS rate FROM (VALUES ('Homo sapiens', 0.001, NULL, 0.02, 135.13), ('Mus musculus', NULL, 0.004, 1.77, 54.0), ('Escherichia coli', 0.071, NULL, 179.6, 2.0)) v(species, theta_s, pi_s, Ne, subs)")
-def evo_rates_theta(spark, sf):
-    from .sources.rates import evo_rates
-
-    r = evo_rates(spark).where(F.col("species").isin("Homo sapiens", "Mus musculus", "Escherichia coli"))
-    return r.select("species", F.coalesce("theta_s", "pi_s").alias("theta"), F.col("Ne").alias("n_e"), F.col("subs").alias("rate"))
-
-
 @query("""SELECT species, coalesce(theta_s, pi_s)::DOUBLE AS theta, Ne::DOUBLE AS n_e, subs::DOUBLE AS rate FROM (VALUES
 ('Agrobacterium tumefaciens', NULL, 0.2, 342.47, 2.92), ('Bacillus subtilis', 0.041, NULL, 61.19, 3.35), ('Escherichia coli', 0.071, NULL, 179.6, 2.0),
 ('Mesoplasma florum', 0.021, NULL, 1.07, 97.8), ('Pseudomonas aeruginosa', NULL, 0.033, 210.7, 0.79), ('Staphlyococcus epidermidis', 0.052, NULL, 35.14, 7.4),
@@ -451,7 +532,6 @@ def evo_rates_theta(spark, sf):
 ('Chlamydomonas reinhardtii', 0.032, NULL, 43.31, 3.8), ('Drosophila melanogaster', 0.018, NULL, 0.86, 51.65), ('Homo sapiens', 0.001, NULL, 0.02, 135.13),
 ('Mus musculus', NULL, 0.004, 1.77, 54.0), ('Paramecium tetraurelia', 0.008, NULL, 101.8, 0.19), ('Saccharomyces cerevisiae', 0.004, NULL, 7.78, 2.63)) v(species, theta_s, pi_s, Ne, subs)""")
 def evo_rates_theta_all(spark, sf):
-    """evo_rates_theta, whose SQL has three species, for all fifteen."""
     from .sources.rates import evo_rates
 
     return evo_rates(spark).select("species", F.coalesce("theta_s", "pi_s").alias("theta"), F.col("Ne").alias("n_e"), F.col("subs").alias("rate"))
@@ -460,57 +540,6 @@ def evo_rates_theta_all(spark, sf):
 # --- reads ---
 
 
-def _pooled(spark, sf):
-    """Reads as events: a chromosome by the event's user, a start and strand from the generator."""
-    g = chroms(spark, sf).where(F.length("seq") >= 150)
-    k = F.col("event_id")
-    e = read(spark, sf, "events").select("event_id", (F.col("user_id") % HAPS).cast("int").alias("hap_id"), (k % 97).alias("chrom_id"))
-    return e.join(g, "chrom_id").withColumns({
-        "start": F.floor(rng.uniform(SEED, "start", k) * (F.length("seq") - 149)).cast("long"),
-        "strand": F.when(rng.uniform(SEED, "strand", k) < 0.5, "F").otherwise("R"),
-    })
-
-
-EVENTS = f"""WITH {GENOME}, e AS (SELECT event_id, (user_id % 8)::INT AS hap_id, r.chrom_id, r.name, r.seq,
-    floor({u_sql('start', 'event_id')} * (length(seq) - 149))::BIGINT AS start, CASE WHEN {u_sql('strand', 'event_id')} < 0.5 THEN 'F' ELSE 'R' END AS strand
-  FROM events JOIN ref r ON r.chrom_id = event_id % 97 WHERE length(r.seq) >= 150)"""
-
-
-@query(EVENTS + " SELECT hap_id, chrom_id, count(*) AS n_reads FROM e GROUP BY ALL")
-def read_allocation(spark, sf):
-    return _pooled(spark, sf).groupBy("hap_id", "chrom_id").agg(F.count("*").alias("n_reads"))
-
-
-@query(EVENTS + " SELECT event_id, start, substr(seq, start + 1, 150) AS fragment FROM e")
-def read_fragments(spark, sf):
-    return _pooled(spark, sf).select("event_id", "start", dna.padded_read("seq", "start", 150).alias("fragment"))
-
-
-def _mates(spark, sf):
-    from .operators.reads import mate_columns
-
-    return mate_columns(_pooled(spark, sf).withColumn("fragment", dna.padded_read("seq", "start", 150)), 100, matepair=False)
-
-
-MATES = EVENTS + """, f AS (SELECT *, substr(seq, start + 1, 150) AS fragment FROM e),
-m AS (SELECT event_id, name, start, 1 AS mate, strand, CASE WHEN strand = 'F' THEN substr(fragment, 1, 100) ELSE reverse(translate(right(fragment, 100), 'TCAG', 'AGTC')) END AS read FROM f UNION ALL
-SELECT event_id, name, start, 2, CASE WHEN strand = 'F' THEN 'R' ELSE 'F' END, CASE WHEN strand = 'R' THEN substr(fragment, 1, 100) ELSE reverse(translate(right(fragment, 100), 'TCAG', 'AGTC')) END FROM f)"""
-
-
-@query(MATES + " SELECT event_id, mate, strand, read FROM m")
-def mate_geometry(spark, sf):
-    return _mates(spark, sf).select("event_id", "mate", "strand", "read")
-
-
-@query(MATES + " SELECT event_id, mate, '@REF-' || regexp_replace(name, '[ :;=%,\\\\|/\"'']', '_', 'g') || '-' || start || '-' || strand || '/' || mate || chr(10) || read || chr(10) || '+' || chr(10) || repeat('I', 100) AS record FROM m")
-def fastq_records(spark, sf):
-    head = dna.fastq_id(F.lit("REF"), dna.clean_name("name"), "start", "strand", "mate")
-    return _mates(spark, sf).select("event_id", "mate", F.concat_ws("\n", head, "read", F.lit("+"), F.repeat(F.lit("I"), 100)).alias("record"))
-
-
-# The four queries above draw from documents 0 to 96 alone, as their SQL does. Those below deal the events over all documents.
-
-
 def _dealt(spark, sf):
     """A read for every event, of any document: 150 bases, or the whole of a shorter chromosome from its start."""
     g = chroms(spark, sf).withColumn("seq", F.coalesce("seq", F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import vcf_sites as V
@@ -58,16 +58,20 @@ def read_vcf(spark: SparkSession, path: str, genome: Genome) -> Records:
     """Haplotypes of a plain or gzipped VCF; phased or not makes no difference.
 
     Contigs are matched to chromosomes by name. Records without GT are left out, missing
-    alleles are the reference; symbolic alleles, changing ploidy and positions that
-    overlap within a chromosome's haplotype are errors.
+    alleles are the reference; symbolic alleles, changing ploidy, positions out of order
+    and positions that overlap within a chromosome's haplotype are errors.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
+    text = spark.read.text(path)
+    # lines keep their order within a block of a file
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = text.select(F.regexp_replace("value", "\r$", "").alias("value"), place.alias("place"))
     top = lines.where(F.col("value").startswith("#CHROM")).first()
     if top is None:
         raise ValueError("the file has no #CHROM line")
     samples = top["value"].split("\t")[9:]
     x = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.col("value") != "")).select(
+        "place",
         x[0].alias("name"), x[1].cast("long").alias("pos"), x[3].alias("ref"), F.split(x[4], ",").alias("alts"), F.array_position(F.split(x[8], ":"), "GT").cast("int").alias("at"), F.slice(x, 10, len(samples)).alias("calls"))
     rows = rows.where("at > 0").withColumn("gts", F.transform("calls", lambda c: F.split(F.get(F.split(c, ":"), F.col("at") - 1), "[|/]")))
     ploidies = [r[0] for r in rows.select(F.explode("gts").alias("g")).select(F.size("g").alias("p")).distinct().collect()]
@@ -76,14 +80,15 @@ def read_vcf(spark: SparkSession, path: str, genome: Genome) -> Records:
     ploidy = ploidies[0] if ploidies else 1
     if rows.where(F.exists("alts", lambda a: ~a.rlike("^[TCAGNtcagn.]+$"))).limit(1).count():
         raise ValueError("symbolic alleles cannot be read")
+    along = Window.partitionBy("name").orderBy("place")
+    if rows.select("name", "pos", F.lag("pos").over(along).alias("before")).where("before > pos").limit(1).count():
+        raise ValueError("records of a contig are not in order of position")
     known = genome.chroms.select("name", "chrom_id")
     if rows.join(known, "name", "left_anti").limit(1).count():
         raise ValueError("a contig is not a chromosome of the genome")
     calls = rows.join(known, "name").select("chrom_id", "pos", "ref", "alts", F.posexplode(F.flatten("gts")).alias("hap_id", "g"))
     n = F.expr("try_cast(g AS int)")
     found = calls.select("hap_id", "chrom_id", "pos", F.upper("ref").alias("ref"), F.when(n > 0, F.upper(F.get("alts", n - 1))).alias("alt")).where("alt IS NOT NULL")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("hap_id", "chrom_id").orderBy("pos")
     if found.withColumn("end", F.lag(F.col("pos") + F.length("ref") - 1).over(w)).where("end >= pos").limit(1).count():
         raise ValueError("records of a haplotype overlap")

@@ -167,7 +167,7 @@ def test_pacbio(spark):
     seqs = spark.createDataFrame([("a", "c", "TCAG" * 2000)], "hap string, chrom string, seq string")
     s = R.PacBio(lengths=([100, 1000], [1, 1]))
     got = R.pacbio(seqs, 60, s, seed=1).collect()
-    assert len(got) == 60 and all(len(r["seq"]) == len(r["qual"]) for r in got) and {len(r["seq"]) for r in got} <= set(range(90, 1001))
+    assert len(got) == 60 and all(len(r["seq"]) == len(r["qual"]) for r in got) and {len(r["seq"]) for r in got} == {100, 1000}
     assert np.isclose(sum(p ** R.least_exponent((0.11, 0.04, 0.01), 0.2) for p in (0.11, 0.04, 0.01)), 0.2, atol=1e-6) or sum((0.11, 0.04, 0.01)) < 0.2
 
 
@@ -185,3 +185,65 @@ def test_profiles(spark, tmp_path):
 
 def test_rates(spark):
     assert rates.evo_rates(spark).count() == 15
+
+
+def test_pacbio_deletions_at_full_length(spark):
+    """A read as long as its chromosome deletes only what insertions have given it room for; shorter ones delete freely."""
+    seq = "".join(np.random.default_rng(2).choice(list("TCAG"), 2000))
+    seqs = spark.createDataFrame([("a", "c", seq)], "hap string, chrom string, seq string")
+    many = R.PacBio(lengths=([500], [1]), ins_prob=0.001, del_prob=0.3, sub_prob=0.001)
+    short = R.pacbio(seqs, 200, many, seed=2).collect()
+    assert {len(r["seq"]) for r in short} == {500}
+    # reads with deletions reach further than their length, also near the end, and never beyond it
+    assert max(r["start"] for r in short) < 1500 and any(r["start"] > 1200 for r in short)
+    whole = R.pacbio(seqs, 40, R.PacBio(lengths=([2000], [1]), ins_prob=0.1, del_prob=0.1, sub_prob=0.001), seed=3).collect()
+    assert all(r["start"] >= 0 and 1900 < len(r["seq"]) <= 2000 for r in whole)
+
+
+def test_mates_stay_together(spark, tmp_path):
+    """Line for line, files of first and second mates hold the same pairs, however many partitions made them."""
+    from strandloom.sources.fastq import write_fastq
+
+    rng = np.random.default_rng(4)
+    seqs = spark.createDataFrame([(h, c, "".join(rng.choice(list("TCAG"), 900))) for h in ("a", "b") for c in ("x", "y", "z")], "hap string, chrom string, seq string").repartition(5)
+    reads = R.illumina(seqs, 400, R.Illumina(read_length=50, frag_mean=200, frag_sd=40, prob_dup=0.2), seed=5)
+    first, second = write_fastq(reads, f"{tmp_path}/r", paired=True)
+    by_id = {(r["hap"], r["chrom"], r["chunk"], r["n"], r["mate"]): r["seq"] for r in reads.collect()}
+    keys = sorted({k[:4] for k in by_id})
+    for name, mate in ((first, 1), (second, 2)):
+        lines = open(name).read().split("\n")
+        assert lines[1::4] == [by_id[(*k, mate)] for k in keys] and len(keys) == 200
+
+
+def test_tables_of_names_and_sequences(spark):
+    """Removing, adding and renaming by tables equals doing so by lists, and unknown or used names are errors."""
+    from strandloom.operators.genome import Genome
+
+    g = Genome.of(spark, ["TC", "AG", "TT"], ["c0", "c1", "c7"])
+    names = spark.createDataFrame([("c1",)], "name string")
+    assert sorted(map(tuple, g.remove(names).chroms.collect())) == sorted(map(tuple, g.remove(["c1"]).chroms.collect()))
+    with pytest.raises(ValueError):
+        g.remove(spark.createDataFrame([("no",)], "name string"))
+    more = spark.createDataFrame([(1, "e", "A"), (0, "d", "C")], "at long, name string, seq string")
+    assert g.add(more).names() == g.add(["C", "A"], ["d", "e"]).names() == ["c0", "c1", "c7", "d", "e"]
+    with pytest.raises(ValueError):
+        g.add(spark.createDataFrame([(0, "c7", "A")], "at long, name string, seq string"))
+    assert g.add(["A"]).names()[-1] == "chrom8"
+    new = spark.createDataFrame([(2, "z"), (0, "x"), (1, "y")], "chrom_id long, name string")
+    assert g.set_names(new).names() == ["x", "y", "z"]
+    with pytest.raises(Exception, match="no name"):
+        g.set_names(new.limit(1)).chroms.collect()
+
+
+def test_vcf_out_of_order(spark, tmp_path):
+    from strandloom.operators.genome import Genome
+    from strandloom.sources.vcf import read_vcf
+
+    g = Genome.of(spark, ["TCAGTCAG"], ["c"])
+    top = "##fileformat=VCFv4.3\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n"
+    rows = ["c\t2\t.\tC\tA\t.\t.\t.\tGT\t1\n", "c\t5\t.\tT\tG\t.\t.\t.\tGT\t1\n"]
+    (tmp_path / "a.vcf").write_text(top + "".join(rows))
+    assert read_vcf(spark, f"{tmp_path}/a.vcf", g).records.count() == 2
+    (tmp_path / "b.vcf").write_text(top + "".join(rows[::-1]))
+    with pytest.raises(ValueError, match="order"):
+        read_vcf(spark, f"{tmp_path}/b.vcf", g)
