@@ -1,4 +1,11 @@
-"""Personal data: fixed patterns, and weak supervision for spans beyond them."""
+"""Personal data: fixed patterns, and weak supervision for spans beyond them.
+
+Four kinds have fixed patterns, whose matches always count, and looser ones. Account numbers
+(IBAN) and secrets (keys, tokens, passwords in clear) have looser patterns only. Labelers
+by shape, check, gazetteer and context vote on every candidate; expectation-maximisation
+estimates how reliable each of them is for each kind, and a classifier learns from its
+posteriors which spans to accept.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds, in the order of spans.
+ALL = (*KINDS, "iban", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # no digit before: a failed run of digits is not tried again from its middle, which could not match either
@@ -75,15 +84,21 @@ _LOOSE = {
     "ip": re.compile(r"(?<![0-9A-Za-z.:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])(?:[0-9]{1,3}\x20?[\[({]\.[\])}]\x20?){3}[0-9]{1,3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[\x20._/-]{1,2}){3}[0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+(])(?:00[1-9][0-9]{0,2}[\x20.-]?)?(?:1[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+=.-])(?:[A-Za-z0-9_/+=-]{20,512}|(?<=[=:\"'\x20])(?=[^\s\"',;]*[0-9])(?=[^\s\"',;]*[A-Za-z])(?=[^\s\"',;]*[!@#$%^&*?])[A-Za-z0-9!@#$%^&*?_+-]{8,64})(?![A-Za-z0-9_/+=-])"),
 }
 # Gazetteers of endings, issuers' first digits, and words around personal data.
 _ENDINGS = frozenset("com org net edu gov int info biz io dev app de fr es it uk us ca au eu ch at nl be".split())
 _ISSUERS = ("34", "35", "36", "37", "38", "4", "51", "52", "53", "54", "55", "60", "62", "65")
+_COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split())
+_SECRETS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "sk-", "rk_live_", "xoxb-", "xoxp-", "eyJ", "SG.", "npm_", "pypi-")
 _NEAR = {
     "email": frozenset("mail email e-mail contact write reach address courriel correo kontakt".split()),
     "ip": frozenset("ip address host server client login from ipv6 adresse".split()),
     "card": frozenset("card visa credit debit mastercard amex payment carte tarjeta karte kreditkarte".split()),
     "phone": frozenset("phone tel telephone call mobile cell fax whatsapp téléphone teléfono telefon handy".split()),
+    "iban": frozenset("iban account bank transfer konto compte cuenta bic swift".split()),
+    "secret": frozenset("key apikey api_key token secret password passwd pwd auth bearer credential credentials access_token".split()),
 }
 _AWAY = frozenset("version release isbn issn order invoice ticket ref id no number build section figure table serial sku part".split())
 _WORD = re.compile(r"[^\W\d_][\w-]*")
@@ -121,6 +136,29 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...], tupl
             s, e = m.span()
             if not any(a < e and s < b for a, b in taken):
                 yield kind, s, e, *judge(kind, text, s, e, False)
+    for kind in ALL[len(KINDS) :] if digits else ():
+        for m in _LOOSE[kind].finditer(text):
+            s, e = m.span()
+            if (kind == "iban" or mixed(m[0])) and not any(a < e and s < b for a, b in taken):
+                yield kind, s, e, *judge(kind, text, s, e, False)
+
+
+def mixed(span: str) -> bool:
+    """Letters and digits, and no word of the language: at least a quarter of the characters are digits, capitals or marks."""
+    other = sum(not c.islower() for c in span)
+    return any(c.isdigit() for c in span) and any(c.isalpha() for c in span) and 4 * other >= len(span)
+
+
+def entropy(span: str) -> float:
+    """Bits per character, by the characters' shares in the span."""
+    share = np.array(list(Counter(span).values())) / len(span)
+    return float(-(share * np.log2(share)).sum())
+
+
+def mod97(span: str) -> bool:
+    """The check of ISO 13616."""
+    x = span.replace(" ", "")
+    return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
 def judge(kind: str, text: str, s: int, e: int, strict: bool) -> tuple[tuple[int, ...], tuple[int, ...]]:
@@ -135,6 +173,12 @@ def judge(kind: str, text: str, s: int, e: int, strict: bool) -> tuple[tuple[int
     elif kind == "card":
         check = 1 if 13 <= len(d) <= 19 and luhn(d) else -1
         gazetteer = 1 if d.startswith(_ISSUERS) else -1
+    elif kind == "iban":
+        check = 1 if mod97(span) else -1
+        gazetteer = 1 if span[:2] in _COUNTRIES else -1
+    elif kind == "secret":
+        check = 1 if entropy(span) >= 3 else -1
+        gazetteer = 1 if span.startswith(_SECRETS) or len(span) in (32, 40, 64) and all(c in "0123456789abcdefABCDEF" for c in span) else 0
     else:
         check = 1 if 9 <= len(d) <= 15 else -1
         gazetteer = 1 if not strict and d[-10:-9] not in ("", "0", "1") and d[-7:-6] not in ("0", "1") else 0
@@ -179,12 +223,13 @@ def expectation_maximisation(votes: np.ndarray, weight: np.ndarray, rounds: int
 
 def _vector(kind: int, features: tuple[int, ...]) -> np.ndarray:
     """One-hot features, each also crossed with the kind."""
-    x = np.zeros(1 + 4 + 7 * 4 * 5)
+    k = len(ALL)
+    x = np.zeros(1 + k + 7 * (k + 1) * 4)
     x[0] = 1
     x[1 + kind] = 1
     for j, v in enumerate(features):
-        x[5 + (j * 5 + kind) * 4 + v] = 1
-        x[5 + (j * 5 + 4) * 4 + v] = 1
+        x[1 + k + (j * (k + 1) + kind) * 4 + v] = 1
+        x[1 + k + (j * (k + 1) + k) * 4 + v] = 1
     return x
 
 
@@ -216,7 +261,7 @@ def train(counts: Counter) -> Model:
         return model
     weight = np.array([counts[k] for k in keys], float)
     target = np.zeros(len(keys))
-    for kind in range(len(KINDS)):
+    for kind in range(len(ALL)):
         mine = np.array([i for i, k in enumerate(keys) if k[0] == kind], int)
         if len(mine):
             target[mine] = expectation_maximisation(np.array([keys[i][1] for i in mine]), weight[mine])
@@ -243,7 +288,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in common.texts(b, "t"):
             for kind, _, _, votes, features in candidates(t):
-                counts[KINDS.index(kind), votes, features] += 1
+                counts[ALL.index(kind), votes, features] += 1
     keys = list(counts)
     small = pa.list_(pa.int32())
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], small), pa.array([k[2] for k in keys], small), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "votes", "features", "n"])
@@ -252,7 +297,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the patterns of votes and features over every text, and train on the counts.
 
-    What comes to the driver is one row per pattern that occurs: at most 4 kinds
+    What comes to the driver is one row per pattern that occurs: at most 6 kinds
     x 3^5 votes x the values of 7 small features, whatever the corpus.
     """
     common.prepare(docs.sparkSession)
@@ -263,7 +308,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
 def added_spans(text: str, model: Model, cut: float = 0.5) -> list[tuple[str, int, int]]:
     out = []
     for kind, s, e, _, features in candidates(text):
-        if not features[0] and model.probability(KINDS.index(kind), features) >= cut:
+        if not features[0] and model.probability(ALL.index(kind), features) >= cut:
             out.append((kind, s, e))
     return out
 
@@ -284,7 +329,7 @@ def find_personal_data(docs: DataFrame, model: Model, cut: float = 0.5, id_col:
             base, every = [], []
             for t in common.texts(b, "t"):
                 found = [(k, *s) for k, v in base_spans(t).items() for s in v] if _likely(t) else []
-                more = sorted([*found, *added_spans(t, shared.value, cut)], key=lambda x: (KINDS.index(x[0]), x[1], x[2])) if _likely(t) else []
+                more = sorted([*found, *added_spans(t, shared.value, cut)], key=lambda x: (ALL.index(x[0]), x[1], x[2])) if _likely(t) else []
                 base.append([f"{k}:{s}:{e}" for k, s, e in found])
                 every.append([f"{k}:{s}:{e}" for k, s, e in more])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(pa.string())), pa.array(every, pa.list_(pa.string()))], ["i", "base", "spans"])
