@@ -110,18 +110,6 @@ class Memory:
         self.most, self.size = most_bytes // 2, 0
         self.young: dict = {}
         self.old: dict = {}
-        self.met, self.n_met = bytearray(1 << 22), 0
-
-    def again(self, key) -> bool:
-        """Whether a key has been met before, as far as 4 MB of marks can tell; most keys come once and need no room."""
-        at = hash(key) & 0x3FFFFF
-        if self.met[at]:
-            return True
-        if self.n_met > 1 << 21:
-            self.met, self.n_met = bytearray(1 << 22), 0
-        self.met[at] = 1
-        self.n_met += 1
-        return False
 
     def put(self, key, value, n_bytes: int) -> None:
         if self.size + n_bytes > self.most:

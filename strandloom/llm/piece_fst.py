@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 MARK = "▁"
-#: Shares of a worker's memory for the pairs of pieces and for the parts of inputs; a pair takes about 100 bytes.
-PAIRS, PARTS, PAIR_BYTES = 3 / 8, 5 / 8, 100
+#: Bytes that a worker remembers of pairs of pieces (about 100 each) and of parts of inputs.
+PAIRS, PARTS, PAIR_BYTES = 48 << 20, 112 << 20, 100
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 INF = float("inf")
 #: Last pieces that are none: before the first piece, and characters outside the vocabulary.
@@ -104,8 +104,8 @@ class Transducer:
             for c in text:
                 state = state.setdefault(c, {})
             state[""] = number
-        self.pairs = common.Memory(int(common.MEMORY_BYTES * PAIRS))
-        self.known = common.Memory(int(common.MEMORY_BYTES * PARTS))
+        self.pairs = common.Memory(PAIRS)
+        self.known = common.Memory(PARTS)
 
     def _piece(self, spec: dict) -> None:
         text, kind, number = spec[1].decode(), spec.get(3, 1), len(self.out)
@@ -226,7 +226,7 @@ class Transducer:
                     x = self.known.young.get(w)
                     out.append(self.part(w) if x is None else x)
                 v = b"".join(out)
-        if len(text) <= 64 and self.known.again(text):
+        if len(text) <= 64:
             self.known.put(text, v, common.text_bytes(text) + len(v))
         return v
 

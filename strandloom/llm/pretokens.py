@@ -98,7 +98,7 @@ class Encoder:
             stem = c[:-1]
             made[c] = (made[stem] if stem in made else found[stem]) + self.marks[c[-1]]
         for c, v in made.items():
-            if len(c) <= 64 and known.again(c):
+            if len(c) <= 64:
                 known.put(c, v, common.text_bytes(c) + len(v))
         found.update(made)
         return found
