@@ -8,7 +8,9 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from pathlib import Path
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +119,26 @@ class Memory:
         self.young[key] = value
         self.size += n_bytes
 
+    def put_all(self, items: dict[str, bytes]) -> None:
+        """put() of texts and their values, a few thousand at a time."""
+        pairs = iter(items.items())
+        while some := dict(islice(pairs, 4096)):
+            n_bytes = 70 * len(some) + sum(map(getsizeof, some)) + sum(map(getsizeof, some.values()))
+            if self.size + n_bytes > self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+            self.young |= some
+            self.size += n_bytes
+
+    def take(self, keys: set[str], found: dict[str, bytes]) -> set[str]:
+        """Add what is known of the keys to found, and return the rest."""
+        young, old = self.young, self.old
+        found |= {k: young[k] for k in keys & young.keys()}
+        keys = keys - young.keys()
+        again = {k: old[k] for k in keys & old.keys()}
+        found |= again
+        self.put_all(again)
+        return keys - again.keys()
+
 
 def text_bytes(text: str) -> int:
     """About what a string costs as a key of a table, with its entry."""

@@ -22,8 +22,15 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _ODD = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: A line feed between two other characters begins and ends a pre-token of its own.
+_LINE = re.compile(r"(?<=\S)(?=\n\S)")
+
 #: Chunks that one call of the library encodes.
-AT_ONCE = 2_000
+AT_ONCE = 200
+#: Marks that are no letters, digits, white space or apostrophes (those begin pre-tokens such as 's).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Runs of marks that a worker remembers; others are encoded with their letters.
+TAILS = 4_096
 
 
 def cut(text: str) -> list[str]:
@@ -48,9 +55,11 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = library(path)
-        self.marks = dict(zip(".,", self.whole([".", ","]), strict=True))
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # what is asked here is asked once: its own memory of words only costs
         self.special = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized), None)
         self.known = common.Memory(common.MEMORY_BYTES)
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,36 +80,46 @@ class Encoder:
             if joined.count(mark) != len(part) - 1:  # a text holds the mark itself
                 out += self.whole(part)
                 continue
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             at, data, start = (np.flatnonzero(ids == number) * 4).tolist(), ids.tobytes(), 0
             for end in [*at, len(data)]:
                 out.append(data[start:end])
                 start = end + 4
         return out
 
+    def tail(self, text: str) -> bytes | None:
+        """ids of a run of marks after letters, which is a pre-token of its own; None for one not remembered."""
+        if (found := self.tails.get(text)) is None and len(text) <= 8 and len(self.tails) < TAILS:
+            found = self.tails[text] = self.whole([text])[0]
+        return found
+
+    def ended(self, part: str) -> tuple[str, bytes]:
+        """Letters, and the ids of the marks after them; or the part itself and no ids."""
+        stem = part.rstrip(MARKS)
+        if len(stem) < len(part) and stem.lstrip("\n").isalpha() and (end := self.tail(part[len(stem) :])) is not None:
+            return stem, end
+        return part, b""
+
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Values of all of these chunks (given without their space)."""
-        known, young, old = self.known, self.known.young, self.known.old
-        found = {c: young[c] for c in chunks & young.keys()}
-        fresh, ended = [], []
-        for c in chunks - found.keys():
-            if (v := old.get(c)) is not None:
-                found[c] = v
-                known.put(c, v, common.text_bytes(c) + len(v))
-            elif c[-1:] in self.marks and c[:-1].isalpha():
-                ended.append(c)  # letters, then a mark: two pre-tokens
-            else:
-                fresh.append(c)
-        stems = {c[:-1] for c in ended} - found.keys()
-        fresh += stems - chunks
-        made = dict(zip(fresh, self.many([" " + c for c in fresh]), strict=True))
-        for c in ended:
-            stem = c[:-1]
-            made[c] = (made[stem] if stem in made else found[stem]) + self.marks[c[-1]]
-        for c, v in made.items():
-            if len(c) <= 64:
-                known.put(c, v, common.text_bytes(c) + len(v))
-        found.update(made)
+        """Values of all of these chunks (given without their space).
+
+        A chunk that is not known is put together of parts where it can be: lines,
+        and letters with a run of marks at the end. A part that begins with a line
+        feed has no space before it; a chunk never begins with one.
+        """
+        found: dict[str, bytes] = {}
+        left = self.known.take(chunks, found)
+        lines = {c: [self.ended(x) for x in _LINE.split(c)] for c in left if "\n" in c}
+        words = {c: x for c in left if c[-1:] in MARKS and c not in lines and (x := self.ended(c))[1]}
+        parts = {x[0] for x in words.values()} | {x for p in lines.values() for x, _ in p}
+        parts = self.known.take(parts - found.keys(), found) | (left - lines.keys() - words.keys())
+        fresh = list(parts)
+        made = dict(zip(fresh, self.many([c if c[:1] == "\n" else " " + c for c in fresh]), strict=True))
+        found |= made
+        made |= (ends := {c: found[stem] + end for c, (stem, end) in words.items()})
+        self.known.put_all({c: v for c, v in made.items() if len(c) <= 64})
+        found |= ends
+        found |= {c: b"".join([found[x] + end for x, end in p]) for c, p in lines.items()}  # hardly comes again
         return found
 
 

@@ -51,6 +51,16 @@ def test_cut_keeps_tokens(tokenizer):
         assert ids == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_parts_of_chunks_equal_the_library(tokenizer):
+    from strandloom.llm import token_store
+
+    odd = ["", "\n", "a\nb", "a\n\nb c", "x \n y", " a,b. c", " it's don't.\nIt's 'tis, ok,", "a.\n'b c\n\"d\" e\n", "a\r\nb c\x1cd e\n.f"]
+    odd += ["é,,,, ñ!!!!!!!!!!!! 12,\n34. a1.\nb2,", "<|endoftext|> a\n<|endoftext|>. b", "ab'. c'\n'd", " a\n b", "日本。\n語, x\u3000y ź.", "w-\nv_ _x_ y__", "a** b** a**\na** a"]
+    for _ in range(2):  # unknown, then remembered
+        got = [np.frombuffer(x, "<u4").tolist() for x in token_store.encode(odd, BPE, None)]
+        assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
+
+
 def test_token_counts(spark, tokenizer):
     rows = odd_rows()
     got = sorted(map(tuple, token_counts(frame(spark, rows), BPE, limit=100).collect()), key=repr)
