@@ -238,6 +238,10 @@ def theta_tree(theta: float, n_haps: int, sub: models.Substitution, ins: models.
     return tree.scaled(theta / mu * a / tree.total_length())
 
 
+#: Mutations that a task gathers before it gives them out.
+GATHERED = 50_000
+
+
 def _by_trees(genome: Genome, per_chrom: dict[int, list[tuple[int, int, Tree]]] | None, one: Tree | None, tips: list[str], sub, ins, dels, epsilon: float, seed: int) -> DataFrame:
     """Each region of each chromosome is a row, and evolves in one call; regions run apart."""
     spark = genome.chroms.sparkSession
@@ -255,15 +259,19 @@ def _by_trees(genome: Genome, per_chrom: dict[int, list[tuple[int, int, Tree]]]
         import pandas as pd
 
         trees, sub, ins, dels, epsilon, seed = shared.value
+        names, out = ["hap_id", "chrom_id", "old_pos", "ref_len", "alt"], []
         for f in frames:
-            out = []
             for c, g, s, seq in zip(f["chrom_id"], f["region"], f["start"], f["seq"], strict=True):
                 tree = trees[None] if None in trees else trees[c, g]
                 for h, ms in enumerate(evolve(seq, int(s), tree, sub, ins, dels, epsilon, (seed, "evolve", c, g))):
                     out += [(h, c, *m) for m in ms]
-            yield pd.DataFrame(out, columns=["hap_id", "chrom_id", "old_pos", "ref_len", "alt"])
+                if len(out) >= GATHERED:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
 
-    return rows.repartition("chrom_id", "region").mapInPandas(run, M.SCHEMA)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small partitions are not merged: few bytes here are much work
+    return rows.repartition(parts, "chrom_id", "region").mapInPandas(run, M.SCHEMA)
 
 
 def create_haplotypes(genome: Genome, method: Theta | Phylo | GeneTrees | SegSites | Records | None, sub: models.Substitution | None = None, ins: models.Indels | None = None, dels: models.Indels | None = None, epsilon: float = 0.03, seed: int = 0) -> Haplotypes:

@@ -22,6 +22,8 @@ READ = "hap string, chrom string, start long, strand string, mate int, seq strin
 _WRITTEN = np.array([2, 0, 1, 1])
 #: Reads that one task makes in one go for one sequence.
 CHUNK = 20_000
+#: Blocks of chromosomes whose sizes the driver knows, for each haplotype.
+BLOCKS = 1_024
 _COMPLEMENT = bytes.maketrans(b"TCAG", b"AGTC")
 _BASES = np.frombuffer(b"TCAG", np.uint8)
 _CODE = np.full(256, 4, np.int8)
@@ -105,37 +107,66 @@ class PacBio:
 def allocate(sequences: DataFrame, n: int, weights: dict[str, float] | None, seed: int) -> DataFrame:
     """(hap, chrom, n, chunk): a multinomial over haplotypes, then over their chromosomes by length.
 
-    Only names and lengths come to the driver; large numbers are cut into chunks, so one
-    sequence that gets most reads is read by many tasks.
+    Chromosomes are dealt to a fixed number of blocks by name. Only the sizes of blocks
+    come to the driver, which splits the reads over them; each block splits its own over
+    its chromosomes in a task. That is the same multinomial, and does not depend on how
+    the rows are partitioned. Large numbers are cut into chunks, so one sequence that
+    gets most reads is read by many tasks. Null or empty sequences get no reads.
     """
     spark = sequences.sparkSession
-    sizes = sequences.select("hap", "chrom", F.length("seq").alias("size")).orderBy("hap", "chrom").collect()
-    haps = sorted({r["hap"] for r in sizes})
-    w = np.array([1.0 if weights is None else number("weight", weights[h], 0) for h in haps])
+    block = F.pmod(F.xxhash64("chrom"), F.lit(BLOCKS)).cast("int")
+    sizes = sequences.select("hap", "chrom", F.coalesce(F.length("seq"), F.lit(0)).cast("long").alias("size"), block.alias("block"))
+    totals: dict[str, list[tuple[int, int]]] = {}
+    for r in sizes.groupBy("hap", "block").agg(F.sum("size").alias("size")).orderBy("hap", "block").collect():
+        totals.setdefault(r["hap"], []).append((r["block"], r["size"]))
+    w = np.array([1.0 if weights is None else number("weight", weights[h], 0) for h in totals])
+    if not w.sum():
+        raise ValueError("there is no haplotype to read from")
     g = rng.generator(seed, "reads")
     rows = []
-    for h, k in zip(haps, g.multinomial(n, w / w.sum()), strict=True):
-        mine = [r for r in sizes if r["hap"] == h]
-        length = np.array([r["size"] for r in mine], float)
+    for (h, blocks), k in zip(totals.items(), g.multinomial(n, w / w.sum()), strict=True):
+        length = np.array([size for _, size in blocks], float)
         if k and not length.sum():
             raise ValueError(f"haplotype {h} has no bases")
-        for r, m in zip(mine, g.multinomial(k, length / length.sum()) if length.sum() else [0] * len(mine), strict=True):
-            rows += [(h, r["chrom"], int(min(CHUNK, m - i)), i // CHUNK) for i in range(0, int(m), CHUNK)]
-    return spark.createDataFrame(rows, "hap string, chrom string, n long, chunk long")
+        if k:
+            rows += [(h, i, int(m)) for (i, _), m in zip(blocks, g.multinomial(k, length / length.sum()), strict=True) if m]
+
+    def split(key, f):
+        import pandas as pd
+
+        f = f.sort_values("chrom")
+        length = f["size"].to_numpy(float)
+        dealt = rng.generator(seed, "reads", *key).multinomial(int(f["reads"].iloc[0]), length / length.sum())
+        out = [(key[0], c, min(CHUNK, m - i), i // CHUNK) for c, m in zip(f["chrom"], dealt.tolist(), strict=True) for i in range(0, m, CHUNK)]
+        return pd.DataFrame(out, columns=["hap", "chrom", "n", "chunk"])
+
+    dealt = spark.createDataFrame(rows, "hap string, block int, reads long")
+    return sizes.join(F.broadcast(dealt), ["hap", "block"]).groupBy("hap", "block").applyInPandas(split, "hap string, chrom string, n long, chunk long")
 
 
 def _made(sequences: DataFrame, plan: DataFrame, make, schema: str) -> DataFrame:
-    """make(hap, chrom, seq, n, chunk) of every row, in batches that hold few sequences."""
+    """make(hap, chrom, seq, n, chunk) of every row; what goes out is gathered to about CHUNK / 4 reads.
+
+    Batches that come in are bounded by Spark's bytes for Arrow batches.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(frames):
         import pandas as pd
 
+        out: list[tuple] = []
         for f in frames:
             for h, c, s, n, k in zip(f["hap"], f["chrom"], f["seq"], f["n"], f["chunk"], strict=True):
-                yield pd.DataFrame(make(h, c, s, int(n), int(k)), columns=[x.split()[0] for x in schema.split(", ")])
+                out += make(h, c, s, int(n), int(k))
+                if len(out) >= CHUNK // 4:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
 
     rows = plan.join(sequences.select("hap", "chrom", "seq"), ["hap", "chrom"]).select("hap", "chrom", "seq", "n", "chunk")
-    return rows.repartition("hap", "chrom", "chunk").mapInPandas(run, schema)
+    # a number of its own keeps adaptive execution from merging small partitions: few bytes here are much work
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "hap", "chrom", "chunk").mapInPandas(run, schema)
 
 
 def _with_errors(seq: str, n: int, ins: float, dele: float, g: np.random.Generator) -> list[tuple[int, str]]:

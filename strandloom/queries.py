@@ -624,10 +624,9 @@ def edit_fold(spark, sf):
     return M.edit(g.withColumn("seq", F.coalesce("seq", F.lit(""))), m, rows, wrap=True)
 
 
-def _small(spark, sf):
-    """The benchmark's texts as a genome."""
-    b = read(spark, sf, "benchmark")
-    return G.Genome(b.select(F.col("item_id").alias("chrom_id"), F.concat(F.lit("item"), "item_id").alias("name"), dna.filter_bases("text").alias("seq")).where("length(seq) > 0"))
+def _bases(spark, sf):
+    """The documents as a genome, without those that have no bases, which can have neither mutations nor reads."""
+    return G.Genome(chroms(spark, sf).where("length(seq) > 0"))
 
 
 @query()
@@ -636,23 +635,25 @@ def evolve_tree(spark, sf):
     from .sources.newick import parse
 
     tree = parse("((a:0.1,b:0.1):0.05,(c:0.07,d:0.07):0.08);")
-    h = create_haplotypes(_small(spark, sf), Phylo([tree]), models.hky85([0.1, 0.2, 0.3, 0.4], 0.5, 0.25, gamma_shape=1.0, invariant=0.1), models.indels(0.1), models.indels(0.1), seed=SEED)
+    h = create_haplotypes(_bases(spark, sf), Phylo([tree]), models.hky85([0.1, 0.2, 0.3, 0.4], 0.5, 0.25, gamma_shape=1.0, invariant=0.1), models.indels(0.1), models.indels(0.1), seed=SEED)
     return h.mutations
 
 
 def _named(spark, sf):
-    return _small(spark, sf).chroms.select(F.lit("REF").alias("hap"), F.col("name").alias("chrom"), "seq")
+    return _bases(spark, sf).chroms.select(F.lit("REF").alias("hap"), F.col("name").alias("chrom"), "seq")
 
 
 @query()
 def illumina_reads(spark, sf):
+    """A pair of reads for every event."""
     from .operators.reads import illumina
 
-    return illumina(_named(spark, sf), 2000, seed=SEED)
+    return illumina(_named(spark, sf), 2 * read(spark, sf, "events").count(), seed=SEED)
 
 
 @query()
 def pacbio_reads(spark, sf):
+    """A long read for every event."""
     from .operators.reads import pacbio
 
-    return pacbio(_named(spark, sf), 500, seed=SEED)
+    return pacbio(_named(spark, sf), read(spark, sf, "events").count(), seed=SEED)
