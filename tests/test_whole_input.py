@@ -1,9 +1,12 @@
 """Queries use every row of their tables."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from strandloom import queries
 from strandloom.operators import mutations as M
+from strandloom.operators.reads import CHUNK, allocate
 
 DIR = "/root/testdata/sf0.001"
 
@@ -55,3 +58,35 @@ def test_edit_fold_equals_plain_edits(spark, tmp_path):
 
 def test_all_species(spark):
     assert queries.evo_rates_theta_all(spark, DIR).where("theta IS NOT NULL").count() == 15
+
+
+def test_simulation_uses_all_documents(spark):
+    """A pair and a long read for every event, from documents of any length; mutations on all that have room for some."""
+    sizes = {r["name"]: len(r["seq"]) for r in queries._bases(spark, DIR).chroms.collect()}
+    n_events = spark.read.parquet(f"{DIR}/events.parquet").count()
+    pairs = queries.illumina_reads(spark, DIR).groupBy("chrom", "chunk", "n").agg(F.count("*").alias("k"), F.countDistinct("strand").alias("strands"), F.max("start").alias("start")).collect()
+    assert len(pairs) == n_events and all(r["k"] == 2 and r["strands"] == 2 and r["start"] < sizes[r["chrom"]] for r in pairs)
+    long = queries.pacbio_reads(spark, DIR).select("chrom", F.length("seq").alias("size"), F.length("qual").alias("q")).collect()
+    assert len(long) == n_events and all(0 < r["size"] <= sizes[r["chrom"]] and r["size"] == r["q"] for r in long)
+    assert max(int(r["chrom"].split()[1].split(":")[0]) for r in pairs) > 96
+    assert queries.evolve_tree(spark, DIR).select("chrom_id").distinct().count() > 0.9 * len(sizes)
+
+
+def test_allocation(spark):
+    """The total is kept, a sequence of half of all bases gets half of the reads, and partitions do not matter."""
+    rows = [("a", f"c{i}", "T" * (i % 7)) for i in range(300)] + [("a", "hot", "T" * 900), ("a", "none", None), ("b", "c1", "T"), ("z", "c1", "")]
+    frame = spark.createDataFrame(rows, "hap string, chrom string, seq string")
+    w = {"a": 3.0, "b": 1.0, "z": 0.0}
+    got, again = (sorted(map(tuple, allocate(frame.repartition(k), 80_000, w, 5).collect())) for k in (1, 7))
+    assert got == again and sum(r[2] for r in got) == 80_000 and max(r[2] for r in got) <= CHUNK
+    per = {}
+    for h, c, n, _ in got:
+        per[h, c] = per.get((h, c), 0) + n
+    size = {(h, c): len(s or "") for h, c, s in rows}
+    total = sum(n for (h, _), n in size.items() if h == "a")
+    assert abs(per["b", "c1"] - 20_000) < 700 and abs(per["a", "hot"] - 60_000 * 900 / total) < 700
+    assert all(size[k] for k in per) and sum(r[1] == "hot" for r in got) == -(-per["a", "hot"] // CHUNK)
+    with pytest.raises(ValueError):
+        allocate(frame, 10, {"a": 0.0, "b": 0.0, "z": 1.0}, 5)
+    with pytest.raises(ValueError):
+        allocate(frame.limit(0), 10, None, 5)
