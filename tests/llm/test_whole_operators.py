@@ -53,3 +53,16 @@ def test_limits_from_whole_recordings(spark):
     assert not np.allclose(audio.fit_limits(media, "id", "sound", most_bytes=32_000), audio.fit_limits(front, "id", "sound", most_bytes=32_000))
     whole = audio.filtered(audio.chroma(np.frombuffer(quiet + loud, np.uint8)))
     assert np.allclose(audio.fit_limits(media, "id", "sound"), np.quantile(whole, [0.25, 0.5, 0.75], axis=0).T)
+
+
+@pytest.mark.parametrize("collected", [1 << 18, 0])
+def test_limits_from_all_recordings(spark, monkeypatch, collected):
+    """Every recording counts, also one of 300 that is longer than the rest, and copies and silence as often as they stand."""
+    monkeypatch.setattr(audio, "COLLECTED", collected, raising=False)
+    rng = np.random.default_rng(6)
+    copy = bytes(rng.integers(0, 256, 3000).astype(np.uint8))
+    sounds = [copy if j % 7 == 0 else bytes([128]) * 3000 if j % 11 == 0 else bytes(rng.integers(100, 156, 2600 + j).astype(np.uint8)) for j in range(300)]
+    sounds += [bytes((128 + 90 * np.sin(np.arange(400_000) ** 1.2 * 0.05)).astype(np.uint8)), b"short", b""]
+    media = spark.createDataFrame([*enumerate(sounds), (900, None)], "id long, sound binary").repartition(5)
+    values = np.concatenate([audio.filtered(audio.chroma(np.frombuffer(x, np.uint8))) for x in sounds])
+    assert np.allclose(audio.fit_limits(media, "id", "sound"), np.quantile(values, [0.25, 0.5, 0.75], axis=0).T, rtol=0, atol=1e-6)
