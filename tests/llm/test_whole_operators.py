@@ -66,3 +66,21 @@ def test_limits_from_all_recordings(spark, monkeypatch, collected):
     media = spark.createDataFrame([*enumerate(sounds), (900, None)], "id long, sound binary").repartition(5)
     values = np.concatenate([audio.filtered(audio.chroma(np.frombuffer(x, np.uint8))) for x in sounds])
     assert np.allclose(audio.fit_limits(media, "id", "sound"), np.quantile(values, [0.25, 0.5, 0.75], axis=0).T, rtol=0, atol=1e-6)
+
+
+def test_index_is_not_shuffled(spark):
+    """Of the index, which is several times the fingerprints, only keys that are asked for are dealt out; all of these are."""
+    rng = np.random.default_rng(7)
+    prints = [rng.integers(-(2**31), 2**31, 500) for _ in range(200)]
+    prints[60][:100] = prints[50][200:300]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(prints)] + [(900, prints[7][50:250].tolist())], "id long, fingerprint array<int>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert [(r["query"], r["recording"], r["offset"]) for r in audio.align(df).collect()] == [(900, 7, -50)]
+    assert written() - before < 3 * sum(4 * len(x) for x in prints)
+
+
+def test_filter_lets_asked_keys_through(spark):
+    keys = np.random.default_rng(8).integers(-(2**63), 2**63 - 1, 200_000)
+    made = audio.asked_filter(spark.createDataFrame([(int(k),) for k in keys[:100_000]], "key long"))
+    assert made.shape[0] > 1 and audio.let_through(made, keys[:100_000]).all() and audio.let_through(made, keys[100_000:]).mean() < 0.03
