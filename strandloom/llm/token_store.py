@@ -12,20 +12,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pretokens import cut, encoder
+from .pretokens import encoder
 
 SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array<int>"
 
 
+def encode_bytes(raw: np.ndarray, offsets: np.ndarray, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """ids of texts, given as UTF-8 bytes and offsets of texts, by the tokenizers library, and the number of each text."""
+    values, n = encoder(path).encode(raw, offsets)
+    if end_id is None:
+        return values, n
+    n = n + 1
+    out = np.empty(len(values) + len(n), np.uint32)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(n) - 1] = False
+    out[inside] = values
+    out[~inside] = end_id
+    return out, n
+
+
 def encode(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
     """ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library."""
-    enc = encoder(path)
-    chunks = [cut(t) for t in texts]
-    known = enc.learn({c for x in chunks for c in x[1:]})
-    first = enc.whole([x[0] for x in chunks])
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join([f, *map(get, x[1:]), end]) for f, x in zip(first, chunks, strict=True)]
+    coded = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, coded)])
+    values, n = encode_bytes(np.frombuffer(b"".join(coded), np.uint8), offsets, path, end_id)
+    ends = np.cumsum([0, *n.tolist()])
+    return [values[i:j].astype("<u4").tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, row_group_bytes: int = 32 << 20, page_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -48,11 +60,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for b in batches:
-            coded = encode(common.texts(b, "t"), tokenizer, end_id)
-            n = np.array([len(x) // 4 for x in coded], np.int64)
+            values, n = encode_bytes(*common.byte_view(b, "t"), tokenizer, end_id)
             offsets = np.concatenate([[0], np.cumsum(n)])
-            values = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(offsets[:-1] + start), common.lists(values, offsets, pa.int32())], ["doc_id", "n_tokens", "part", "part_start", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(offsets[:-1] + start), common.lists(values.view(np.int32), offsets, pa.int32())], ["doc_id", "n_tokens", "part", "part_start", "ids"])
             start += int(offsets[-1])
 
     source = docs.select(common.ids(docs, id_col).alias("i"), docs[f"`{text_col}`"].alias("t"))

@@ -61,6 +61,65 @@ def test_parts_of_chunks_equal_the_library(tokenizer):
         assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def own_ids(enc, texts):
+    coded = [t.encode() for t in texts]
+    values, n = enc.encode(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
+    return [x.tolist() for x in np.split(values, np.cumsum(n)[:-1])]
+
+
+def test_units_beside_any_character_equal_the_library(tokenizer):
+    from strandloom.llm.pretokens import Encoder
+
+    chars = [chr(c) for c in [*range(0x3100), *range(0xD7A0, 0xD800), *range(0xE000, 0x10200), *range(0x1F300, 0x1F700)]]
+    texts = [f"a{c}b.{c}. {c} {c}5{c}'{c}\n{c}\n {c}{c}s'{c} \t{c}" for c in chars]
+    assert own_ids(Encoder(BPE), texts) == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_units_whatever_the_table_holds(tokenizer, monkeypatch):
+    from strandloom.llm import pretokens
+
+    r = random.Random(3)
+    texts = ["".join(r.choices("abcdeé sd'\n\t .,(5×\xa0ж日\0", k=r.randint(0, 80))) for _ in range(2000)] + ["<|endoftext|>a. <|endoftext|>", "", "x" * 5000]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(pretokens, "SLOTS", 64)  # units put others out
+    monkeypatch.setattr(pretokens, "AT_ONCE", 500)
+    monkeypatch.setattr(pretokens, "BLOCK", 3000)
+    enc = pretokens.Encoder(BPE)
+    assert own_ids(enc, texts) == want and own_ids(enc, texts) == want
+    monkeypatch.setattr(pretokens.common, "mix64", lambda x: x & np.uint64(7))  # units share hashes
+    enc = pretokens.Encoder(BPE)
+    assert own_ids(enc, texts) == want and own_ids(enc, texts) == want
+
+
+def test_a_word_between_marks_is_asked_for_once(monkeypatch):
+    from strandloom.llm.pretokens import Encoder
+
+    enc, asked = Encoder(BPE), []
+    ask = enc.asked
+    monkeypatch.setattr(enc, "asked", lambda units: asked.extend(units) or ask(units))
+    own_ids(enc, ["of (alpha) alpha, [alpha] alpha.\nof\nalpha 1alpha; of, alpha"])
+    assert len(asked) == len(set(asked)) and sum(b"alpha" in x for x in asked) == 2  # with a space before it, and without
+
+
+def test_remembered_texts_take_a_small_part_of_the_library_s_time(tokenizer):
+    from time import process_time
+
+    from strandloom.llm import token_store
+
+    r = random.Random(5)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(w + r.choice(["", "", "", ",", ".", ".\n" + w]) for w in r.choices(words, k=300)) for _ in range(500)]
+    token_store.encode(texts, BPE, 2)
+    shares = []
+    for _ in range(3):
+        start = process_time()
+        tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        between = process_time()
+        token_store.encode(texts, BPE, 2)
+        shares.append((process_time() - between) / (between - start))
+    assert min(shares) < 0.15, shares
+
+
 def test_token_counts(spark, tokenizer):
     rows = odd_rows()
     got = sorted(map(tuple, token_counts(frame(spark, rows), BPE, limit=100).collect()), key=repr)
