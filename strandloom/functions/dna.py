@@ -16,9 +16,9 @@ def _c(x: Column | str) -> Column:
 
 
 def filter_bases(seq: Column | str, ambiguous_to_n: bool = False) -> Column:
-    """Upper-cased T, C, A, G and N; other characters go, or become N."""
-    up = F.translate(_c(seq), "tcagn", "TCAGN")
-    return F.regexp_replace(up, "[^TCAGN]", "N" if ambiguous_to_n else "")
+    """Upper-cased T, C, A, G and N; other characters go, run by run, or become N."""
+    kept = F.regexp_replace(_c(seq), "[^TCAGNtcagn]", "N") if ambiguous_to_n else F.regexp_replace(_c(seq), "[^TCAGNtcagn]+", "")
+    return F.translate(kept, "tcagn", "TCAGN")
 
 
 def size(seq: Column | str) -> Column:

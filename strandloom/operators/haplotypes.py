@@ -255,23 +255,31 @@ def _by_trees(genome: Genome, per_chrom: dict[int, list[tuple[int, int, Tree]]]
         trees = {(c, i): t for c, r in per_chrom.items() for i, (_, _, t) in enumerate(r)}
     shared = spark.sparkContext.broadcast((trees, sub, ins, dels, epsilon, seed))
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
         trees, sub, ins, dels, epsilon, seed = shared.value
-        names, out = ["hap_id", "chrom_id", "old_pos", "ref_len", "alt"], []
-        for f in frames:
-            for c, g, s, seq in zip(f["chrom_id"], f["region"], f["start"], f["seq"], strict=True):
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        names, tables = ["hap_id", "chrom_id", "old_pos", "ref_len", "alt"], {}
+
+        def batch(columns):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+
+        out: list[list] = [[], [], [], [], []]
+        for f in batches:
+            for c, g, s, seq in zip(*[f.column(x).to_pylist() for x in ("chrom_id", "region", "start", "seq")], strict=True):
                 tree = trees[None] if None in trees else trees[c, g]
-                for h, ms in enumerate(evolve(seq, int(s), tree, sub, ins, dels, epsilon, (seed, "evolve", c, g))):
-                    out += [(h, c, *m) for m in ms]
-                if len(out) >= GATHERED:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        yield pd.DataFrame(out, columns=names)
+                for h, ms in enumerate(evolve(seq, s, tree, sub, ins, dels, epsilon, (seed, "evolve", c, g), tables)):
+                    if ms:
+                        for column, more in zip(out, ([h] * len(ms), [c] * len(ms), *zip(*ms, strict=True)), strict=True):
+                            column += more
+                if len(out[0]) >= GATHERED:
+                    yield batch(out)
+                    out = [[], [], [], [], []]
+        yield batch(out)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that small partitions are not merged: few bytes here are much work
-    return rows.repartition(parts, "chrom_id", "region").mapInPandas(run, M.SCHEMA)
+    return rows.repartition(parts, "chrom_id", "region").mapInArrow(run, M.SCHEMA)
 
 
 def create_haplotypes(genome: Genome, method: Theta | Phylo | GeneTrees | SegSites | Records | None, sub: models.Substitution | None = None, ins: models.Indels | None = None, dels: models.Indels | None = None, epsilon: float = 0.03, seed: int = 0) -> Haplotypes:

@@ -23,8 +23,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chroms(spark: SparkSession, sf_dir: str, with_bases: bool = False) -> DataFrame:
+    """The documents as chromosomes; with_bases leaves out those without any, before they are filtered."""
     d = read(spark, sf_dir, "documents")
+    if with_bases:
+        d = d.where(F.col("text").rlike("[TCAGNtcagn]"))
     return d.select(F.col("doc_id").alias("chrom_id"), F.concat(F.lit("doc "), F.col("doc_id"), F.lit(":"), "source", F.lit(";"), "lang").alias("name"), dna.filter_bases("text").alias("seq"))
 
 
@@ -626,7 +629,7 @@ def edit_fold(spark, sf):
 
 def _bases(spark, sf):
     """The documents as a genome, without those that have no bases, which can have neither mutations nor reads."""
-    return G.Genome(chroms(spark, sf).where("length(seq) > 0"))
+    return G.Genome(chroms(spark, sf, with_bases=True))
 
 
 @query()
