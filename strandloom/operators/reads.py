@@ -141,41 +141,81 @@ def allocate(sequences: DataFrame, n: int, weights: dict[str, float] | None, see
         return pd.DataFrame(out, columns=["hap", "chrom", "n", "chunk"])
 
     dealt = spark.createDataFrame(rows, "hap string, block int, reads long")
-    return sizes.join(F.broadcast(dealt), ["hap", "block"]).groupBy("hap", "block").applyInPandas(split, "hap string, chrom string, n long, chunk long")
+    # a number of its own here too: the sizes are few bytes, and adaptive execution would split all blocks in one task
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sizes.join(F.broadcast(dealt), ["hap", "block"]).repartition(parts, "hap", "block").groupBy("hap", "block").applyInPandas(split, "hap string, chrom string, n long, chunk long")
 
 
-def _made(sequences: DataFrame, plan: DataFrame, make, schema: str) -> DataFrame:
-    """make(hap, chrom, seq, n, chunk) of every row; what goes out is gathered to about CHUNK / 4 reads.
+class Gathered:
+    """Reads on their way out, as columns of READ; seq and qual are ASCII bytes."""
+
+    def __init__(self) -> None:
+        self.columns: list[list] = [[] for _ in READ.split(", ")]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def add(self, *row) -> None:
+        for column, x in zip(self.columns, row, strict=True):
+            column.append(x)
+
+    def batch(self):
+        """An Arrow batch of what has been added."""
+        return _batch([*self.columns[:5], *map(_ascii, self.columns[5:7]), *self.columns[7:]])
+
+
+def _batch(columns):
+    import pyarrow as pa
+
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
+
+def _ascii(texts: list[bytes]):
+    return _strings(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+
+def _strings(data: np.ndarray, lengths: np.ndarray):
+    """An Arrow array of ASCII strings that lie one after another."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    if offsets[-1] < 2**31:
+        return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
+
+
+def _made(sequences: DataFrame, plan: DataFrame, make, gathered=Gathered) -> DataFrame:
+    """make(out, hap, chrom, seq, n, chunk) adds the reads of every row; what goes out is gathered to about CHUNK / 4 reads.
 
     Batches that come in are bounded by Spark's bytes for Arrow batches.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(frames):
-        import pandas as pd
 
-        out: list[tuple] = []
-        for f in frames:
-            for h, c, s, n, k in zip(f["hap"], f["chrom"], f["seq"], f["n"], f["chunk"], strict=True):
-                out += make(h, c, s, int(n), int(k))
+    def run(batches):
+        out = gathered()
+        for f in batches:
+            for h, c, s, n, k in zip(*[f.column(x).to_pylist() for x in ("hap", "chrom", "seq", "n", "chunk")], strict=True):
+                make(out, h, c, s, n, k)
                 if len(out) >= CHUNK // 4:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-        yield pd.DataFrame(out, columns=names)
+                    yield out.batch()
+                    out = gathered()
+        yield out.batch()
 
     rows = plan.join(sequences.select("hap", "chrom", "seq"), ["hap", "chrom"]).select("hap", "chrom", "seq", "n", "chunk")
     # a number of its own keeps adaptive execution from merging small partitions: few bytes here are much work
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "hap", "chrom", "chunk").mapInPandas(run, schema)
+    return rows.repartition(parts, "hap", "chrom", "chunk").mapInArrow(run, READ)
 
 
-def _with_errors(seq: str, n: int, ins: float, dele: float, g: np.random.Generator) -> list[tuple[int, str]]:
+def _with_errors(seq: bytes, n: int, ins: float, dele: float, g: np.random.Generator) -> list[tuple[int, str]]:
     """Indels of a read over its fragment: (position, inserted base or empty for a deletion)."""
     out: list[tuple[int, str]] = []
     if not ins + dele:
         return out
     have, at = 0, 0
     u = g.random(len(seq))
+    if not len(seq) or u[:n].min() > ins + dele:
+        return out
     while have < n and at < len(seq):
         if u[at] > ins + dele:
             have += 1
@@ -190,21 +230,63 @@ def _with_errors(seq: str, n: int, ins: float, dele: float, g: np.random.Generat
     return out
 
 
-def _qualities(seq: bytes, profile: Profile, g: np.random.Generator) -> tuple[str, str]:
-    """Draw a quality per base and position, and a mismatch with its chance; N has a low one and stays."""
-    read, quals = bytearray(seq), bytearray(len(seq))
-    u, v, w = g.random(len(seq)), g.random(len(seq)), g.integers(0, 3, len(seq))
-    for p, b in enumerate(seq):
-        code = _CODE[b]
-        if code > 3:
-            quals[p] = 33 + int(u[p] * 10)
-            continue
-        at = min(p, profile.length - 1)
-        q = int(profile.quals[code][at][min(np.searchsorted(profile.cumulative[code][at], u[p]), len(profile.quals[code][at]) - 1)])
-        if v[p] < (10 ** (-q / 10) if q else 1.0):
-            read[p] = _BASES[(code + 1 + w[p]) % 4]
-        quals[p] = 33 + min(q, 93)
-    return read.decode(), quals.decode()
+class Qualities:
+    """Profiles of both mates as tables of one row for each mate, base and position, so that many reads are looked up at once."""
+
+    def __init__(self, profiles: Sequence[Profile]) -> None:
+        self.length = np.array([p.length for p in profiles])
+        self.first = np.concatenate([[0], np.cumsum(4 * self.length)])[:-1]
+        rows = [(p.quals[b][at], p.cumulative[b][at]) for p in profiles for b in range(4) for at in range(p.length)]
+        most = max(len(c) for _, c in rows)
+        self.steps = [2**i for i in range(most.bit_length() - 1, -1, -1)]
+        self.width = 2 * self.steps[0]
+        self.upto = np.full((len(rows), self.width), np.inf)
+        self.quals = np.zeros((len(rows), self.width), np.int64)
+        for i, (q, c) in enumerate(rows):
+            self.upto[i, : len(c)] = c
+            self.quals[i, : len(q)] = q
+            self.quals[i, len(q) :] = q[-1]
+        chance = {q: 10 ** (-q / 10) if q else 1.0 for q in np.unique(self.quals).tolist()}
+        self.chance = np.array([chance[q] for q in self.quals.ravel().tolist()])
+        self.marks = (33 + np.minimum(self.quals, 93)).astype(np.uint8).ravel()
+        self.upto = self.upto.ravel()
+
+    def __call__(self, read: np.ndarray, mate: np.ndarray, place: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A quality for each base at its place in a read, and a mismatch with its chance; N has a low one and stays."""
+        code = _CODE[read].astype(np.int64)
+        known = code < 4
+        at = np.minimum(place, self.length[mate] - 1)
+        base = (self.first[mate] + np.where(known, code, 0) * self.length[mate] + at) * self.width
+        found = base.copy()
+        for step in self.steps:  # how many cumulative shares are below u
+            found += step * (self.upto[found + (step - 1)] < u)
+        wrong = known & (v < self.chance[found])
+        return np.where(wrong, _BASES[(code + 1 + w) % 4], read), np.where(known, self.marks[found], (33 + (u * 10).astype(np.int64)).astype(np.uint8))
+
+
+class Drawn(Gathered):
+    """Reads whose qualities are yet to be looked up: what was drawn for them is kept until all go out at once."""
+
+    def __init__(self, qualities: Qualities) -> None:
+        super().__init__()
+        self.qualities, self.uv, self.w = qualities, [], []
+
+    def batch(self):
+        reads, step = self.columns[5], CHUNK // 4
+        made = [self._made(slice(i, i + step)) for i in range(0, len(reads), step)]
+        made, quals = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.uint8),) * 2
+        n = np.fromiter(map(len, reads), np.int64, len(reads))
+        return _batch([*self.columns[:5], _strings(made, n), _strings(quals, n), *self.columns[7:]])
+
+    def _made(self, some: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Bases and qualities of some reads, one after another; arrays of numbers are those of so many reads at a time."""
+        reads = self.columns[5][some]
+        n = np.fromiter(map(len, reads), np.int64, len(reads))
+        first = np.repeat(np.cumsum(n) - n, n)
+        read = np.frombuffer(b"".join(reads), np.uint8)
+        each, uv = np.arange(len(read)), np.concatenate(self.uv[some])
+        at = each + first  # each read's u come before its v
+        return self.qualities(read, np.repeat(np.array(self.columns[4][some], np.int64) - 1, n), each - first, uv[at], uv[at + np.repeat(n, n)], np.concatenate(self.w[some]))
 
 
 def illumina(sequences: DataFrame, n_reads: int, settings: Illumina | None = None, weights: dict[str, float] | None = None, barcodes: dict[str, str] | None = None, seed: int = 0) -> DataFrame:
@@ -217,46 +299,49 @@ def illumina(sequences: DataFrame, n_reads: int, settings: Illumina | None = Non
     low = s.frag_min if s.frag_min is not None else s.read_length
     shape, scale = (s.frag_mean / s.frag_sd) ** 2, s.frag_sd**2 / s.frag_mean
 
-    def make(hap: str, chrom: str, seq: str, n: int, chunk: int) -> list[tuple]:
+    qualities = Qualities(profiles[:mates])
+    limit = math.inf if s.frag_max is None or not s.frag_max else s.frag_max
+
+    def make(out: Drawn, hap: str, chrom: str, seq: str, n: int, chunk: int) -> None:
         g = rng.generator(seed, "illumina", hap, chrom, chunk)
-        bar = (barcodes or {}).get(hap, "")
-        out: list[tuple] = []
-        made = 0
+        bar = (barcodes or {}).get(hap, "").encode()
+        raw, made = seq.encode("ascii", "replace"), 0
+        gamma, random = g.gamma, g.random
         while made < n:
-            size = int(min(max(g.gamma(shape, scale), low), s.frag_max or math.inf))
-            size = min(size, len(seq))
-            start = int(g.random() * (len(seq) - size + 1))
-            fragment = seq[start : start + size]
+            size = min(int(min(max(gamma(shape, scale), low), limit)), len(raw))
+            start = int(random() * (len(raw) - size + 1))
+            fragment = raw[start : start + size]
             while True:
-                out += [(*row, chunk, made) for row in template(hap, chrom, fragment, start, bar, g)]
+                template(out, hap, chrom, fragment, start, bar, g, chunk, made)
                 made += 1
-                if made >= n or g.random() >= s.prob_dup:
+                if made >= n or random() >= s.prob_dup:
                     break
-        return out
 
-    def template(hap: str, chrom: str, fragment: str, start: int, bar: str, g) -> list[tuple]:
+    def template(out: Drawn, hap: str, chrom: str, fragment: bytes, start: int, bar: bytes, g, chunk: int, made: int) -> None:
         strand = "F" if g.random() < 0.5 else "R"
-        rows = []
         for m in range(mates):
             side = strand if m == 0 else ("R" if strand == "F" else "F")
             left = (side == "F") != s.matepair
             errors = _with_errors(fragment, s.read_length, s.ins_prob[m], s.del_prob[m], g)
-            dels = sum(not b for _, b in errors)
-            span = min(s.read_length + dels - (len(errors) - dels), len(fragment))
+            span = min(s.read_length, len(fragment))
+            if errors:
+                dels = sum(not b for _, b in errors)
+                span = min(s.read_length + dels - (len(errors) - dels), len(fragment))
             span = max(span - len(bar), 0)
             at = 0 if left else len(fragment) - span
             read = fragment[at : at + span]
             if side == "R":
-                read = read.encode().translate(_COMPLEMENT)[::-1].decode()
+                read = read.translate(_COMPLEMENT)[::-1]
             read = bar + read
             for p, b in reversed(errors):  # from the end, so that positions stay right
                 if p < len(read):
-                    read = read[: p + 1] + b + read[p + 1 :] if b else read[:p] + read[p + 1 :]
-            read, qual = _qualities(read[: s.read_length].encode(), profiles[m], g)
-            rows.append((hap, chrom, start + at, side, m + 1, read, qual))
-        return rows
+                    read = read[: p + 1] + b.encode() + read[p + 1 :] if b else read[:p] + read[p + 1 :]
+            read = read[: s.read_length]
+            out.uv.append(g.random(2 * len(read)))
+            out.w.append(g.integers(0, 3, len(read)))
+            out.add(hap, chrom, start + at, side, m + 1, read, None, chunk, made)
 
-    return _made(sequences, allocate(sequences, n_reads // mates, weights, seed), make, READ)
+    return _made(sequences, allocate(sequences, n_reads // mates, weights, seed), make, lambda: Drawn(qualities))
 
 
 def least_exponent(p: tuple[float, float, float], limit: float) -> float:
@@ -339,7 +424,7 @@ def pacbio(sequences: DataFrame, n_reads: int, settings: PacBio | None = None, w
             kinds = np.array(kept, np.int64)
         return kinds
 
-    def written(source: np.ndarray, kinds: np.ndarray, g) -> str:
+    def written(source: np.ndarray, kinds: np.ndarray, g) -> bytes:
         """The source's bases with the events on them."""
         bases, code = source.copy(), _CODE[source]
         at = np.flatnonzero((kinds == 2) & (code < 4))
@@ -348,13 +433,12 @@ def pacbio(sequences: DataFrame, n_reads: int, settings: PacBio | None = None, w
         out = np.repeat(bases, times)
         inserted = np.cumsum(times)[kinds == 0] - 1
         out[inserted] = _BASES[g.integers(0, 4, len(inserted))]
-        return out.tobytes().decode()
+        return out.tobytes()
 
-    def make(hap: str, chrom: str, seq: str, n: int, chunk: int) -> list[tuple]:
+    def make(out: Gathered, hap: str, chrom: str, seq: str, n: int, chunk: int) -> None:
         g = rng.generator(seed, "pacbio", hap, chrom, chunk)
-        out: list[tuple] = []
-        raw = np.frombuffer(seq.encode(), np.uint8)
-        while len(out) < n:
+        raw, done = np.frombuffer(seq.encode(), np.uint8), 0
+        while done < n:
             size, u = length(len(raw), g), g.random()
             while True:
                 k = passes(size, g)
@@ -369,14 +453,14 @@ def pacbio(sequences: DataFrame, n_reads: int, settings: PacBio | None = None, w
                 if not forward:
                     source = np.frombuffer(source.tobytes().translate(_COMPLEMENT), np.uint8)[::-1]
                 made = written(source, kinds, g)
-                marks = [chr(33 + min(93, round(-10 * math.log10(max(sum(x), 1e-12))))) for x in (left, right)]
+                marks = [bytes([33 + min(93, round(-10 * math.log10(max(sum(x), 1e-12))))]) for x in (left, right)]
                 split = min(split, len(made))
-                out.append((hap, chrom, start, "F" if forward else "R", 1, made, marks[0] * split + marks[1] * (len(made) - split), chunk, len(out)))
-                if len(out) >= n or g.random() >= s.prob_dup:
+                out.add(hap, chrom, start, "F" if forward else "R", 1, made, marks[0] * split + marks[1] * (len(made) - split), chunk, done)
+                done += 1
+                if done >= n or g.random() >= s.prob_dup:
                     break
-        return out
 
-    return _made(sequences, allocate(sequences, whole("n_reads", n_reads, 1), weights, seed), make, READ)
+    return _made(sequences, allocate(sequences, whole("n_reads", n_reads, 1), weights, seed), make)
 
 
 def records(reads: DataFrame, paired: bool = False) -> DataFrame:

@@ -4,10 +4,13 @@ import hashlib
 import time
 
 import numpy as np
+import pytest
 
+from strandloom.operators import reads as R
 from strandloom.operators.evolve import evolve
 from strandloom.plans import models
 from strandloom.sources import newick
+from strandloom.sources.profiles import Profile, falling
 
 
 def digest(x):
@@ -24,3 +27,29 @@ def test_evolution_is_as_before_and_linear():
     began = time.process_time()
     assert sum(map(len, evolve("TCAG" * 50_000, 0, tree, sub, i, i, 0.0001, (1,)))) == 111_657
     assert time.process_time() - began < 4  # 8.2 s with copies, 0.9 s without
+
+
+@pytest.fixture(scope="module")
+def seqs(spark):
+    rng = np.random.default_rng(7)
+    return spark.createDataFrame([(h, f"c{n}", "".join(rng.choice(list("TCAGN"), n))) for h in ("a", "b") for n in (1, 3, 60, 149, 700, 5000)], "hap string, chrom string, seq string").cache()
+
+
+def test_short_reads_are_as_before_and_drawn_together(spark, seqs):
+    """The same reads as when each base was drawn by itself; adaptive execution does not put all blocks into one task."""
+    uneven = Profile([[np.arange(2, 3 + (b + p) % 5) for p in range(40)] for b in range(4)], [[np.arange(1, 2 + (b + p) % 5) / (1 + (b + p) % 5) for p in range(40)] for b in range(4)])
+    kinds = [R.Illumina(prob_dup=0.3), R.Illumina(150, ins_prob=(0.1, 0.05), del_prob=(0.1, 0.3), barcodes=("TTTTT",)), R.Illumina(50, matepair=True, frag_max=90, profiles=(uneven, falling(50))), R.Illumina(36, paired=False, ins_prob=(0, 0), del_prob=(0, 0))]
+    got = [sorted(map(tuple, R.illumina(seqs, 600, s, {"a": 1, "b": 2}, {"a": "TTTTT"}, seed=i).collect())) for i, s in enumerate(kinds)]
+    assert digest(got) == "2cca9c96f5766823870c16953dd560a2"
+    one = seqs.where("hap = 'a' AND chrom = 'c5000'")
+    began = time.time()
+    assert R.illumina(one, 20_000, seed=1).count() == 20_000
+    assert time.time() - began < 7  # 0.6 ms a read before, so 12 s
+    many = spark.range(3000).selectExpr("'a' AS hap", "concat('c', id) AS chrom", "'TCAG' AS seq")
+    assert R.allocate(many, 9000, None, 1).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_long_reads_are_as_before(spark, seqs):
+    kinds = [R.PacBio(prob_dup=0.3), R.PacBio(lengths=([100, 1000], [1, 1]), del_prob=0.3), R.PacBio(ins_prob=0.5, sub_prob=0.3, del_prob=0.1)]
+    got = [sorted(map(tuple, R.pacbio(seqs, 300, s, {"a": 1, "b": 2}, seed=i).collect())) for i, s in enumerate(kinds)]
+    assert digest(got) == "e885d2de4b3a5d3ca7181d31befd5d81"
