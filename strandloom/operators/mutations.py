@@ -30,10 +30,16 @@ def with_new_pos(mutations: DataFrame) -> DataFrame:
     return m.withColumn("new_pos", F.col("old_pos") + F.coalesce(F.sum("size_mod").over(w), F.lit(0)))
 
 
+def every(chroms: DataFrame, haps: DataFrame) -> DataFrame:
+    """Every haplotype (hap_id) of every row of chroms, which is read and computed once, however many haplotypes there are."""
+    ids = haps.agg(F.collect_list("hap_id").alias("hap_ids"))  # one row
+    return chroms.join(F.broadcast(ids)).select(F.explode("hap_ids").alias("hap_id"), *chroms.columns)
+
+
 def sizes(chroms: DataFrame, haps: DataFrame, mutations: DataFrame) -> DataFrame:
     """(hap_id, chrom_id, size) of every haplotype and chromosome."""
     change = mutations.groupBy(*KEYS).agg(F.sum(size_change()).alias("change"))
-    base = haps.select("hap_id").join(chroms.select("chrom_id", dna.size("seq").alias("size")))
+    base = every(chroms.select("chrom_id", dna.size("seq").alias("size")), haps)
     return base.join(change, list(KEYS), "left").select(*KEYS, (F.col("size") + F.coalesce("change", F.lit(0))).alias("size"))
 
 
@@ -62,7 +68,7 @@ def gathered(mutations: DataFrame, *keys: str) -> DataFrame:
 def materialize(chroms: DataFrame, haps: DataFrame, mutations: DataFrame) -> DataFrame:
     """(hap_id, chrom_id, seq): one shuffle by haplotype and chromosome, and each sequence built once."""
     ms = gathered(mutations, *KEYS)
-    base = haps.select("hap_id").join(chroms.select("chrom_id", "seq"))
+    base = every(chroms.select("chrom_id", "seq"), haps)
     empty = F.array().cast("array<struct<old_pos:bigint,ref_len:int,alt:string>>")
     return base.join(ms, list(KEYS), "left").select(*KEYS, applied(F.col("seq"), F.coalesce("ms", empty)).alias("seq"))
 

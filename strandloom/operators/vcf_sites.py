@@ -50,12 +50,11 @@ def genotypes(chroms: DataFrame, mutations: DataFrame, haps: DataFrame) -> DataF
     pos counts from 1; alleles are numbered in the order of the first haplotype that has
     them; gts are in the order of hap_id, 0 for the reference.
     """
-    found = alleles(chroms, mutations)
-    differ = found.where("alt <> ref")
-    first = differ.groupBy("chrom_id", "site", "alt").agg(F.min("hap_id").alias("first"))
-    order = Window.partitionBy("chrom_id", "site").orderBy("first")
-    numbered = first.withColumn("n", F.row_number().over(order))
-    rows = differ.join(numbered, ["chrom_id", "site", "alt"]).groupBy("chrom_id", "site").agg(
+    differ = alleles(chroms, mutations).where("alt <> ref")
+    # windows, as a join would make all alleles a second time; a site has one row for each haplotype at most
+    first = differ.withColumn("first", F.min("hap_id").over(Window.partitionBy("chrom_id", "site", "alt")))
+    numbered = first.withColumn("n", F.dense_rank().over(Window.partitionBy("chrom_id", "site").orderBy("first")))
+    rows = numbered.groupBy("chrom_id", "site").agg(
         F.min("start").alias("start"),
         F.min("ref").alias("ref"),
         F.transform(F.array_sort(F.collect_set(F.struct("n", "alt"))), lambda x: x["alt"]).alias("alts"),

@@ -45,9 +45,10 @@ def mutations(spark: SparkSession, sf_dir: str, genome: DataFrame) -> DataFrame:
         F.col("l_returnflag").alias("flag"),
         (1 + F.col("l_quantity").cast("int") % 5).alias("size"),
     )
-    rows = rows.join(genome.select("chrom_id", F.col("seq")), "chrom_id").where(F.length("seq") > 10)
-    rows = rows.withColumn("old_pos", F.col("key") % F.length("seq")).withColumn("base", F.substring(F.col("seq"), F.col("old_pos").cast("int") + 1, F.lit(1)))
-    room = F.least(F.col("size"), F.length("seq") - F.col("old_pos") - F.when(F.col("old_pos") == 0, 1).otherwise(0)).cast("int")
+    # lengths are counted once for each chromosome, not for each row of lineitem
+    rows = rows.join(genome.select("chrom_id", "seq", F.length("seq").alias("n")), "chrom_id").where("n > 10")
+    rows = rows.withColumn("old_pos", F.col("key") % F.col("n")).withColumn("base", F.substring(F.col("seq"), F.col("old_pos").cast("int") + 1, F.lit(1)))
+    room = F.least(F.col("size"), F.col("n") - F.col("old_pos") - F.when(F.col("old_pos") == 0, 1).otherwise(0)).cast("int")
     alt = F.when(F.col("flag") == "A", F.translate("base", "TCAGN", "CAGTT")).when(F.col("flag") == "N", F.concat("base", F.substring(F.lit("GATTACA"), F.lit(1), F.col("size")))).otherwise("")
     rows = rows.select("hap_id", "chrom_id", "old_pos", F.when(F.col("flag") == "R", room).otherwise(1).alias("ref_len"), alt.alias("alt"))
     return without_overlap(rows)

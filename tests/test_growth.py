@@ -6,7 +6,10 @@ import time
 import numpy as np
 import pytest
 
+from strandloom import queries
+from strandloom.operators import mutations as M
 from strandloom.operators import reads as R
+from strandloom.operators import vcf_sites as V
 from strandloom.operators.evolve import evolve
 from strandloom.plans import models
 from strandloom.sources import newick
@@ -53,3 +56,30 @@ def test_long_reads_are_as_before(spark, seqs):
     kinds = [R.PacBio(prob_dup=0.3), R.PacBio(lengths=([100, 1000], [1, 1]), del_prob=0.3), R.PacBio(ins_prob=0.5, sub_prob=0.3, del_prob=0.1)]
     got = [sorted(map(tuple, R.pacbio(seqs, 300, s, {"a": 1, "b": 2}, seed=i).collect())) for i, s in enumerate(kinds)]
     assert digest(got) == "e885d2de4b3a5d3ca7181d31befd5d81"
+
+
+def counted(spark, frame):
+    """frame through a step that counts the rows each time they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return frame.mapInArrow(run, frame.schema), made
+
+
+def test_chromosomes_are_made_once_for_all_haplotypes(spark):
+    g, made = counted(spark, spark.range(40).selectExpr("id AS chrom_id", "repeat('TCAG', 20) AS seq"))
+    none = spark.createDataFrame([], M.SCHEMA)
+    assert M.sizes(g, queries.haps(spark), none).count() == 320 and made.value == 40
+    assert M.materialize(g, queries.haps(spark), none).where("length(seq) = 80").count() == 320 and made.value == 80
+
+
+def test_alleles_are_made_once_for_genotypes(spark):
+    g = spark.range(40).selectExpr("id AS chrom_id", "repeat('TCAG', 20) AS seq")
+    m, made = counted(spark, spark.range(320).selectExpr("CAST(id % 8 AS int) AS hap_id", "id div 8 AS chrom_id", "4 * (id % 3) AS old_pos", "1 AS ref_len", "CASE WHEN id % 2 = 0 THEN 'G' ELSE 'A' END AS alt"))
+    rows = V.genotypes(g, m, queries.haps(spark)).collect()
+    assert len(rows) == 120 and made.value <= 2 * 320  # for the islands and for their mutations
+    assert all([r["alts"][i - 1] for i in r["gts"] if i][0] == r["alts"][0] and len(r["alts"]) == 2 for r in rows)
