@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,8 @@ class Pieces:
                 self.parts.append((alt,))
             at = p + n
         self._push((at, len(ref)))
+        self.sizes = list(map(self._size, self.parts))
+        self.total = sum(self.sizes)
 
     def _push(self, part: tuple) -> None:
         if len(part) == 1 or part[1] > part[0]:
@@ -109,14 +112,11 @@ class Pieces:
         return len(part[0]) if len(part) == 1 else part[1] - part[0]
 
     def __len__(self) -> int:
-        return sum(map(self._size, self.parts))
+        return self.total
 
     def _split(self, pos: int) -> int:
         """Index of the part that begins at pos, after splitting the one that holds it."""
-        ends, total = [], 0
-        for part in self.parts:
-            total += self._size(part)
-            ends.append(total)
+        ends = list(accumulate(self.sizes))
         i = bisect.bisect_right(ends, pos)
         if i == len(self.parts):
             return i
@@ -125,13 +125,16 @@ class Pieces:
             part = self.parts[i]
             halves = [(part[0][:inside],), (part[0][inside:],)] if len(part) == 1 else [(part[0], part[0] + inside), (part[0] + inside, part[1])]
             self.parts[i : i + 1] = halves
+            self.sizes[i : i + 1] = [inside, self.sizes[i] - inside]
             i += 1
         return i
 
     def _replace(self, pos: int, n: int, text: str) -> None:
         i = self._split(pos)
         j = self._split(pos + n) if n else i
+        self.total += len(text) - sum(self.sizes[i:j])
         self.parts[i:j] = [(text,)] if text else []
+        self.sizes[i:j] = [len(text)] if text else []
 
     def _check(self, pos: int) -> None:
         if not 0 <= pos < len(self):
@@ -202,34 +205,48 @@ def edit(chroms: DataFrame, mutations: DataFrame, edits: DataFrame, wrap: bool =
     e = edits.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq_no", "kind", "pos", "text", "n"))).alias("es"))
     rows = e.join(gathered(mutations, *KEYS), list(KEYS), "left").join(chroms.select("chrom_id", "seq"), "chrom_id")
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        for f in frames:
-            out = []
-            for h, c, es, ms, seq in zip(f["hap_id"], f["chrom_id"], f["es"], f["ms"], f["seq"], strict=True):
-                p = Pieces(seq, [(m["old_pos"], m["ref_len"], m["alt"]) for m in ms] if ms is not None else [])
-                for x in es:
-                    pos = x["pos"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        for f in batches:
+            out: list[list] = [[], [], [], [], []]
+            keys = [f.column(c).to_pylist() for c in (*KEYS, "seq")]
+            for h, c, seq, es, ms in zip(*keys, _rows(f.column("es")), _rows(f.column("ms")), strict=True):
+                p = Pieces(seq, ms)
+                for _, kind, pos, text, n in es:
                     if wrap:
                         if not len(p):
-                            if x["kind"] == "ins" and seq:
-                                p.start_with(x["text"])
+                            if kind == "ins" and seq:
+                                p.start_with(text)
                             continue
                         pos %= len(p)
-                    if x["kind"] == "sub":
-                        p.substitute(pos, x["text"])
-                    elif x["kind"] == "ins":
-                        p.insert(pos, x["text"])
+                    if kind == "sub":
+                        p.substitute(pos, text)
+                    elif kind == "ins":
+                        p.insert(pos, text)
                     else:
-                        p.delete(pos, x["n"])
-                out += [(h, c, *m) for m in merged(p.mutations())]
-            yield pd.DataFrame(out, columns=["hap_id", "chrom_id", "old_pos", "ref_len", "alt"])
-
-    edited = rows.select(*KEYS, "es", "ms", "seq").mapInPandas(run, SCHEMA)
+                        p.delete(pos, n)
+                found = merged(p.mutations())
+                if found:
+                    for column, more in zip(out, ([h] * len(found), [c] * len(found), *zip(*found, strict=True)), strict=True):
+                        column += more
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["hap_id", "chrom_id", "old_pos", "ref_len", "alt"])
+
+    edited = rows.select(*KEYS, "es", "ms", "seq").mapInArrow(run, SCHEMA)
     return mutations.join(e.select(*KEYS), list(KEYS), "left_anti").select(*edited.columns).unionByName(edited)
 
 
+def _rows(lists) -> Iterable[list[tuple]]:
+    """Of an Arrow column of arrays of structs, a list of tuples for each row, empty for a null; by columns, as rows are slow."""
+    structs = lists.flatten()
+    rows = list(zip(*[x.to_pylist() for x in structs.flatten()], strict=True))
+    at = 0
+    for n in lists.value_lengths().to_pylist():
+        yield rows[at : at + (n or 0)]
+        at += n or 0
+
+
 def merged(ms: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Two mutations of one reference base (a literal on either side of it) as one."""
     out: list[tuple[int, int, str]] = []

@@ -83,3 +83,25 @@ def test_alleles_are_made_once_for_genotypes(spark):
     rows = V.genotypes(g, m, queries.haps(spark)).collect()
     assert len(rows) == 120 and made.value <= 2 * 320  # for the islands and for their mutations
     assert all([r["alts"][i - 1] for i in r["gts"] if i][0] == r["alts"][0] and len(r["alts"]) == 2 for r in rows)
+
+
+def test_many_edits_of_one_chromosome():
+    """Edits equal those of a plain string, without a walk in Python over all pieces for each of them."""
+    rng = np.random.default_rng(5)
+    ref = "".join(rng.choice(list("TCAG"), 50_000))
+    want, p, began = ref, M.Pieces(ref), time.process_time()
+    for kind, at in zip(rng.integers(0, 3, 4000).tolist(), rng.integers(0, 2**40, 4000).tolist(), strict=True):
+        at %= len(p)
+        if kind == 0:
+            p.substitute(at, "G")
+            want = want[:at] + "G" + want[at + 1 :]
+        elif kind == 1:
+            p.insert(at, "ACA")
+            want = want[: at + 1] + "ACA" + want[at + 1 :]
+        else:
+            p.delete(at, 2)
+            want = want[:at] + want[at + 2 :]
+    took = time.process_time() - began
+    assert p.text() == want and len(p) == len(want)
+    assert M.Pieces(ref, M.merged(p.mutations())).text() == want
+    assert took < 5, took
