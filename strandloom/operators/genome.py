@@ -212,8 +212,12 @@ def replace_ns(seq: str, key: str, pi: Sequence[float], seed: int = 0) -> Column
 def simulated_bases(chroms: DataFrame, pi: Sequence[float], seed: int = 0) -> DataFrame:
     """(chrom_id, seq) of chroms' chrom_id and size, base by base from the counter-based generator, within the JVM."""
     c = rng.cumulative(numbers_of("pi", pi, 4))
-    base = F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda i: F.substring(F.lit(dna.BASES), rng.pick(rng.uniform(seed, "base", F.col("chrom_id"), i), c) + 1, F.lit(1)))
-    return chroms.select("chrom_id", F.when(F.col("size") > 0, F.array_join(base, "")).otherwise("").alias("seq"))
+    # each number is drawn by itself first, as pick uses it up to three times
+    drawn = F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda i: rng.uniform(seed, "base", F.col("chrom_id"), i))
+    base = F.transform(drawn, lambda u: F.substring(F.lit(dna.BASES), rng.pick(u, c) + 1, F.lit(1)))
+    # a number of partitions of its own: few bytes here are much work, and a small file is one task
+    parts = int(chroms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chroms.repartition(parts, "chrom_id").select("chrom_id", F.when(F.col("size") > 0, F.array_join(base, "")).otherwise("").alias("seq"))
 
 
 def windows(chroms: DataFrame, width: int) -> DataFrame:

@@ -11,6 +11,7 @@ from strandloom.operators import mutations as M
 from strandloom.operators import reads as R
 from strandloom.operators import vcf_sites as V
 from strandloom.operators.evolve import evolve
+from strandloom.operators.genome import simulated_bases
 from strandloom.plans import models
 from strandloom.sources import newick
 from strandloom.sources.profiles import Profile, falling
@@ -105,3 +106,11 @@ def test_many_edits_of_one_chromosome():
     assert p.text() == want and len(p) == len(want)
     assert M.Pieces(ref, M.merged(p.mutations())).text() == want
     assert took < 5, took
+
+
+def test_simulated_bases_are_dealt_to_tasks(spark):
+    """A small file of sizes is not one task, and the bases are those of the SQL (see test_queries)."""
+    sizes = spark.range(0, 40, 1, 1).selectExpr("id AS chrom_id", "id AS size")
+    got = simulated_bases(sizes, [1, 1, 1, 1], 3)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(len(r["seq"]) == r["chrom_id"] for r in got.collect())
